@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.tables import register
+
 
 def query(spark: SparkSession, sql: str) -> DataFrame:
     """Run ``sql`` as a query. Being wrapped, it can be nothing else: DDL, a second
@@ -16,6 +18,4 @@ def sql_transform(spark: SparkSession, name: str, sql: str) -> DataFrame:
     """Define table ``name`` by ``sql``. A failing query leaves an earlier ``name`` as it
     was. The table is a view: nothing runs until a result is asked for, and the optimizer
     sees through chains of transforms."""
-    df = query(spark, sql)
-    df.createOrReplaceTempView(name)
-    return df
+    return register(query(spark, sql), name)
