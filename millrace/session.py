@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -65,3 +65,11 @@ def shared_root(spark: SparkSession) -> str:
 def workspace(spark: SparkSession, label: str = "run") -> str:
     """A fresh directory name under the shared root."""
     return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+
+
+def store(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` to shared storage once and read it from there: for rows that are costly
+    to make and used more than once. It cuts the lineage and outlives lost executors."""
+    path = workspace(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

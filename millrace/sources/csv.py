@@ -27,6 +27,7 @@ from millrace.functions.dialect import (
     parse,
 )
 from millrace.names import dedupe, default_names, quote
+from millrace.session import store
 from millrace.sources.lines import records, text_lines
 
 PREVIEW_LIMIT = 100
@@ -226,7 +227,9 @@ def _read_plain(spark, paths, group: _Group, header: bool) -> DataFrame:
     return _all_columns(df, charset.as_cp1252) if group.encoding == charset.CP1252 else df
 
 
-def _read_lines(lines: DataFrame, group: _Group, header: bool) -> DataFrame:
+def _records(lines: DataFrame, group: _Group) -> DataFrame:
+    """The group's records, put together once: they are read for the types and again for
+    the rows."""
     text = charset.decode_line(F.col("value"), F.lit(group.encoding))
     marked = lines.select(
         "path",
@@ -237,6 +240,10 @@ def _read_lines(lines: DataFrame, group: _Group, header: bool) -> DataFrame:
         F.lit(group.skip_rows).alias("skip"),
     )
     rows = records(marked).where(F.trim("record") != "")
+    return store(rows.drop("sep"), "records")
+
+
+def _read_records(rows: DataFrame, group: _Group, header: bool) -> DataFrame:
     if header:
         top = rows.groupBy("path").agg(F.min(F.struct("block", "pos")).alias("__top"))
         rows = rows.join(top, "path").where(F.struct("block", "pos") != F.col("__top"))
@@ -349,12 +356,15 @@ def read_csv_lines(
         else:
             located.append((g, None, lines.where(F.col("path").isin(names))))
 
+    kept: dict[_Group, DataFrame] = {}
+
     def read_rows(header: bool) -> DataFrame:
         frames = []
         for g, files, own_lines in located:
-            as_lines = g.skip_rows or g.multiline or not files or (g.bom and not header)
-            if as_lines:
-                frames.append(_read_lines(own_lines, g, header))
+            if g.skip_rows or g.multiline or not files or (g.bom and not header):
+                if g not in kept:
+                    kept[g] = _records(own_lines, g)
+                frames.append(_read_records(kept[g], g, header))
             else:
                 frames.append(_read_plain(spark, files, g, header))
         return _blank_as_null(_combine(frames))
