@@ -26,7 +26,7 @@ from millrace.functions.dialect import (
     describe_head,
     parse,
 )
-from millrace.names import dedupe, default_names, quote
+from millrace.names import dedupe, default_names
 from millrace.session import store
 from millrace.sources.lines import records, text_lines
 
