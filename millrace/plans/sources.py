@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.session import tune
@@ -17,7 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def register_all(spark: SparkSession, sf_dir: str) -> None:
+def register_named(spark: SparkSession, sf_dir: str, sql: str) -> None:
+    """Register those of the tables whose names occur in ``sql``."""
     tune(spark)
+    words = set(re.findall(r"\w+", sql))
     for name in TABLES:
-        register(table(spark, sf_dir, name), name)
+        if name in words:
+            register(table(spark, sf_dir, name), name)

@@ -14,11 +14,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators import joins, ordering
+from millrace.operators import joins, ordering, sets
 from millrace.operators.ordering import Asc, Desc
 from millrace.operators.quantile import exact_quantile
 from millrace.operators.transform import query
-from millrace.plans.sources import register_all, table
+from millrace.plans.sources import register_named, table
+from millrace.session import tune
 
 TEXT: dict[str, str] = {}
 ORACLE: dict[str, str] = {}
@@ -425,14 +426,28 @@ pair(
     """SELECT c_nationkey AS k FROM customer
        EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 9000""",
 )
-both(
+
+
+@frame(
     "q_exceptall",
     "SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier",
 )
-both(
+def q_exceptall(spark, sf):
+    return sets.except_all(*_nation_keys(spark, sf))
+
+
+@frame(
     "q_intersectall",
     "SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier",
 )
+def q_intersectall(spark, sf):
+    return sets.intersect_all(*_nation_keys(spark, sf))
+
+
+def _nation_keys(spark, sf):
+    customers = table(spark, sf, "customer").select(F.col("c_nationkey").alias("k"))
+    return customers, table(spark, sf, "supplier").select("s_nationkey")
+
 
 # --- subqueries, CTEs, reshaping -----------------------------------------------------
 
@@ -637,7 +652,7 @@ pair(
 
 def _run(sql: str) -> Callable[[SparkSession, str], DataFrame]:
     def call(spark: SparkSession, sf_dir: str) -> DataFrame:
-        register_all(spark, sf_dir)
+        register_named(spark, sf_dir, sql)
         return query(spark, sql)
 
     return call
@@ -645,8 +660,7 @@ def _run(sql: str) -> Callable[[SparkSession, str], DataFrame]:
 
 def _framed(fn) -> Callable[[SparkSession, str], DataFrame]:
     def call(spark: SparkSession, sf_dir: str) -> DataFrame:
-        register_all(spark, sf_dir)
-        return fn(spark, sf_dir)
+        return fn(tune(spark), sf_dir)
 
     return call
 
