@@ -62,35 +62,81 @@ def sniffed(text: str) -> list[str]:
         return []
 
 
+def _candidates(sample: str) -> list[str]:
+    return [d for d in sniffed(sample) if d in DELIMITERS] + list(DELIMITERS)
+
+
 def choose_delimiter(text: str) -> str:
     """The delimiter with the best score; the sniffed one wins ties, then list order."""
     sample = text[:SAMPLE_CHARS]
-    candidates = [d for d in sniffed(sample) if d in DELIMITERS] + list(DELIMITERS)
-    scores = {d: score(sample, d) for d in candidates}
+    scores = {d: score(sample, d) for d in _candidates(sample)}
     if not any(map(any, scores.values())):
         return DELIMITERS[0]
-    return max(candidates, key=scores.get)
-
-
-def describe_head(text: str, sep: str | None = None) -> dict:
-    """Delimiter, width, lines before the table and its first row."""
-    sep = sep or choose_delimiter(text)
-    _, width = dominant(width_counts(text, sep))
-    skip, ends, first, rest = 0, 0, [], []
-    for row, line in parse(text, sep):
-        if not first and any(row) and (len(row) == width or width == 0):
-            first, skip = row, ends
-        elif first:
-            rest.append(row)
-        ends = line
-        if len(rest) >= SAMPLE_ROWS:
-            break
+    return max(scores, key=scores.get)
+
+
+def _layout(text: str, sep: str, whole: bool) -> dict:
+    """How the head looks as a table under ``sep``. Unless it is the whole file, its last
+    row may be cut off and is not looked at."""
+    rows = list(parse(text, sep, 2 * SAMPLE_ROWS))
+    if not whole and len(rows) > 1:
+        rows.pop()
+    widths = Counter(len(row) for row, _ in rows if len(row) > 1 and any(row))
+    _, width = dominant(widths)
+    starts = [0] + [end for _, end in rows]
+    at = next((i for i, (r, _) in enumerate(rows) if any(r) and len(r) == (width or len(r))), None)
+    if at is None:
+        return {"width": 0, "skip": 0, "first": [], "rest": [], "even": False}
+    rest = [row for row, _ in rows[at + 1 :] if row]
+    return {
+        "width": width,
+        "skip": starts[at],
+        "first": rows[at][0],
+        "rest": [row for row in rest if len(row) == len(rows[at][0])],
+        "even": width > 1 and all(len(row) == width for row in rest),
+    }
+
+
+def describe_head(
+    text: str,
+    sep: str | None = None,
+    whole: bool = True,
+    expected: list[tuple[str, list[str]]] | None = None,
+) -> dict:
+    """Delimiter, width, lines before the table and its first row.
+
+    For a load the rows must all be as wide as the first, so a delimiter under which the
+    head is an even table comes before one that only scores well, as commas may in prose.
+    ``expected`` holds (delimiter, first row) pairs of other files of the same folder: a
+    head with such a row is taken to be like them.
+    """
+    for known, cells in expected or ():
+        for i, (row, _) in enumerate(rows := list(parse(text, known, SAMPLE_ROWS))):
+            if row == list(cells):
+                rest = [r for r, _ in rows[i + 1 :] if len(r) == len(row)]
+                return _found(known, rows[i - 1][1] if i else 0, row, rest)
+    if sep is None:
+        sample = text[:SAMPLE_CHARS]
+        layouts = {d: _layout(text, d, whole) for d in _candidates(sample)}
+
+        def merit(d):
+            even = layouts[d]["even"]
+            return (even, even and layouts[d]["skip"] == 0, score(sample, d))
+
+        sep = max(layouts, key=merit)
+        if not any(x["width"] for x in layouts.values()):
+            sep = DELIMITERS[0]
+    seen = _layout(text, sep, whole)
+    return _found(sep, seen["skip"], seen["first"], seen["rest"])
+
+
+def _found(sep: str, skip: int, first: list[str], rest: list[list[str]]) -> dict:
     return {
         "sep": sep,
         "n_cols": len(first),
         "skip_rows": skip,
         "first_cells": first,
-        "has_header": _is_header(first, [r for r in rest if len(r) == len(first)]),
+        "has_header": _is_header(first, rest),
     }
 
 

@@ -37,20 +37,26 @@ COVERS = (
 )
 
 
+# Longer values are text without a look at them.
+LONGEST_TYPED = 512
+
+
 def value_class(c: Column) -> Column:
-    """The class bit of a text value; null for null."""
+    """The class bit of a text value; null for null. A flat chain, each pattern once."""
     v = F.trim(c)
+    # A failing try_cast costs as much as dozens of matches: only values that may be out of
+    # range are tried.
+    whole = (
+        F.when((F.octet_length(v) < 19) | v.try_cast("bigint").isNotNull(), INT)
+        .when(v.try_cast("decimal(38,0)").isNotNull(), HUGE)
+        .otherwise(DOUBLE)
+    )
     return (
         F.when(c.isNull(), F.lit(None).cast("int"))
-        .when(
-            v.rlike(INT_PATTERN),
-            F.when(v.try_cast("bigint").isNotNull(), INT)
-            .when(v.try_cast("decimal(38,0)").isNotNull(), HUGE)
-            .otherwise(DOUBLE),
-        )
-        .when(v.rlike(NUMBER_PATTERN), DOUBLE)
+        .when(F.octet_length(c) > LONGEST_TYPED, TEXT)
+        .when(v.rlike(INT_PATTERN), whole)
+        .when(v.rlike(NUMBER_PATTERN) | F.lower(v).isin(*DOUBLE_WORDS), DOUBLE)
         .when(F.lower(v).isin(*BOOL_WORDS), BOOL)
-        .when(F.lower(v).isin(*DOUBLE_WORDS), DOUBLE)
         .when(v.rlike(DATE_PATTERN) & v.try_cast("date").isNotNull(), DATE)
         .when(v.rlike(STAMP_PATTERN) & v.try_cast("timestamp_ntz").isNotNull(), STAMP)
         .when(v.rlike(ZONED_PATTERN) & v.try_cast("timestamp").isNotNull(), ZONED)
@@ -66,9 +72,15 @@ def type_of(mask: int | None) -> str:
 
 
 def masks(df: DataFrame) -> list[int | None]:
-    """Class mask per column of an all-text frame: one pass, one row back."""
-    bits = [F.bit_or(value_class(F.col(quote(c)))).alias(f"m{i}") for i, c in enumerate(df.columns)]
-    return list(df.agg(*bits).first())
+    """Class mask per column of an all-text frame, in one pass.
+
+    The columns are turned into rows first, so that the class expression is compiled once
+    whatever the number of columns; what is shuffled is one number per column and task.
+    """
+    cells = df.select(F.posexplode(F.array(*[F.col(quote(c)) for c in df.columns])))
+    bits = cells.groupBy("pos").agg(F.bit_or(value_class(F.col("col"))).alias("mask"))
+    found = {r["pos"]: r["mask"] for r in bits.collect()}
+    return [found.get(i) for i in range(len(df.columns))]
 
 
 def infer_types(df: DataFrame) -> list[str]:

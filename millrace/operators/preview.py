@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.json_safe import json_rows
@@ -56,8 +56,8 @@ def _stretch(df: DataFrame, order: list[Asc], offset: int, limit: int):
         return None
     points = [F.struct(*[F.lit(v).cast(df.schema[n].dataType).alias(n) for n, v in zip(names, c)])
               for c in cuts]
-    piece = F.size(F.filter(F.array(*points), lambda p: comes_before(p, order)))
-    counts = keys.groupBy(piece.alias("p")).count().collect()
+    past = [comes_before(p, order) for p in points]
+    counts = keys.groupBy(_piece(past, 0, len(past)).alias("p")).count().collect()
     sizes = dict.fromkeys(range(len(cuts) + 1), 0) | {r["p"]: r["count"] for r in counts}
     first, before = 0, 0
     while before + sizes[first] <= offset:
@@ -69,7 +69,22 @@ def _stretch(df: DataFrame, order: list[Asc], offset: int, limit: int):
         upto += sizes[last]
     if upto - before >= total:
         return None
-    return df.where(piece.between(first, last)), offset - before
+    inside = F.lit(True)
+    if first > 0:
+        inside = inside & past[first - 1]
+    if last < len(cuts):
+        inside = inside & ~past[last]
+    return df.where(inside), offset - before
+
+
+def _piece(past: list[Column], low: int, high: int) -> Column:
+    """How many of the sorted cut points lie before the row, by halving."""
+    if low == high:
+        return F.lit(low)
+    middle = (low + high) // 2
+    return F.when(past[middle], _piece(past, middle + 1, high)).otherwise(
+        _piece(past, low, middle)
+    )
 
 
 def describe(df: DataFrame) -> DataFrame:

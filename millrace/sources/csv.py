@@ -90,23 +90,24 @@ def _first_blocks(lines: DataFrame) -> DataFrame:
     return lines.where("block = 0").select("path", F.col("value").cast("binary").alias("value"))
 
 
-def _heads(lines: DataFrame, sep: str | None = None) -> DataFrame:
+def _heads(lines: DataFrame, sep: str | None = None, expected=None) -> DataFrame:
     def describe(batches):
         for path, run in _first_block_runs(batches):
-            taken, size = [], 0
+            taken, size, whole = [], 0, True
             for line in run:
-                taken.append(line)
-                size += len(line) + 1
                 if size >= SAMPLE_CHARS and len(taken) > SAMPLE_ROWS:
+                    whole = False
                     break
-            found = describe_head(decode_head(b"\n".join(taken)), sep)
+                taken.append(line)
+                size += len(line) + 1
+            found = describe_head(decode_head(b"\n".join(taken)), sep, whole, expected)
             yield pd.DataFrame([{"path": path, **found}])
 
     return _first_blocks(lines).mapInPandas(describe, HEAD_SCHEMA)
 
 
-def profile_lines(lines: DataFrame, sep: str | None = None) -> DataFrame:
-    return _file_facts(lines).join(_heads(lines, sep), "path")
+def profile_lines(lines: DataFrame, sep: str | None = None, expected=None) -> DataFrame:
+    return _file_facts(lines).join(_heads(lines, sep, expected), "path")
 
 
 def profile_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -176,6 +177,7 @@ class _Group:
     bom: bool
     first: tuple[str, ...]
     one_first_row: bool
+    files: int
 
 
 _KEYS = ["encoding", "sep", "n_cols", "skip_rows", "multiline", "bom"]
@@ -187,7 +189,11 @@ def _groups(profile: DataFrame, dialect: Dialect) -> list[_Group]:
             profile = profile.withColumn(field, F.lit(getattr(dialect, field)))
     rows = (
         profile.groupBy(*_KEYS)
-        .agg(F.min("first_cells").alias("lo"), F.max("first_cells").alias("hi"))
+        .agg(
+            F.min("first_cells").alias("lo"),
+            F.max("first_cells").alias("hi"),
+            F.count(F.lit(1)).alias("files"),
+        )
         .limit(MAX_DIALECTS + 1)
         .collect()
     )
@@ -195,7 +201,9 @@ def _groups(profile: DataFrame, dialect: Dialect) -> list[_Group]:
         raise FileNotFoundError("no CSV file with any line")
     if len(rows) > MAX_DIALECTS:
         raise ValueError(f"the files have more than {MAX_DIALECTS} dialects")
-    return [_Group(*[r[k] for k in _KEYS], tuple(r["lo"]), r["lo"] == r["hi"]) for r in rows]
+    return [
+        _Group(*[r[k] for k in _KEYS], tuple(r["lo"]), r["lo"] == r["hi"], r["files"]) for r in rows
+    ]
 
 
 def _csv_options(sep: str) -> dict:
@@ -316,7 +324,7 @@ def read_csv(
 
 def _read_known(spark, path, dialect: Dialect, schema: str) -> DataFrame:
     fields = spark.createDataFrame([], schema).schema.fields
-    group = _Group(dialect.encoding, dialect.sep, len(fields), 0, False, False, (), True)
+    group = _Group(dialect.encoding, dialect.sep, len(fields), 0, False, False, (), True, 0)
     text = _blank_as_null(_read_plain(spark, path, group, dialect.header))
     kinds = [f.dataType.simpleString() for f in fields]
     return infer.cast_all(text, kinds).toDF(*[f.name for f in fields])
@@ -334,6 +342,13 @@ def read_csv_lines(
     dialect = dialect or Dialect()
     profile = profile_lines(lines, dialect.sep)
     groups = _groups(profile, dialect)
+    if len({g.first for g in groups}) > 1 or not all(g.one_first_row for g in groups):
+        # Some heads may have been misread: see whether the commonest first rows are in them.
+        shared = [g for g in groups if g.one_first_row]
+        top = max((g.files for g in shared), default=0)
+        expected = [(g.sep, list(g.first)) for g in shared if 2 * g.files > top]
+        profile = profile_lines(lines, dialect.sep, expected)
+        groups = _groups(profile, dialect)
     widths = {g.n_cols for g in groups}
     if len(widths) > 1:
         raise ValueError(f"the files differ in their number of columns: {sorted(widths)}")

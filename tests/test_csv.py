@@ -195,3 +195,20 @@ def test_export_text(spark, tmp_path):
     )
     export_csv(df.where("false"), str(tmp_path / "none"))
     assert next((tmp_path / "none").glob("part-*.csv")).read_text().startswith("a,n,e")
+
+
+def test_prose_with_commas_in_quoted_cells(spark, tmp_path):
+    prose = "Well, it was, in short, odd.\nAnd then, nothing.\nSo, he said.\n" * 40
+    rows = "".join(f'{i};"{prose}";en\n' for i in range(6))
+    df = C.read_csv(spark, put(tmp_path, "prose.csv", "id;text;lang\n" + rows))
+    assert df.columns == ["id", "text", "lang"] and df.count() == 6
+    assert {r["text"] for r in df.collect()} == {prose}
+
+
+def test_a_misread_file_follows_its_folder(spark, tmp_path):
+    """The one row of the third file looks like comma-separated lines."""
+    put(tmp_path, "a.csv", "id;text\n1;x\n2;y\n")
+    put(tmp_path, "b.csv", "id;text\n3;z\n")
+    put(tmp_path, "c.csv", 'id;text\n4;"a, b\n' + "c, d\n" * 2000 + '"\n')
+    df = C.read_csv(spark, str(tmp_path))
+    assert df.columns == ["id", "text"] and sorted(r["id"] for r in df.collect()) == [1, 2, 3, 4]
