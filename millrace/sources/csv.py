@@ -1,9 +1,10 @@
 """CSV files to typed tables: profile, text preview, typed read.
 
 All files under a path are handled as one job. A file that Spark's own reader parses as it
-stands goes through it, split by byte ranges. A file with lines ahead of its header or
-with line breaks in quoted cells is read as numbered lines that are put together to
-records first (``sources/lines.py``), so it too is read by many tasks.
+stands goes through it, split by byte ranges. A file with lines ahead of its header, or a
+large one with line breaks in quoted cells (which Spark's reader gives to a single task), is
+read as numbered lines that are put together to records first (``sources/lines.py``), so
+it too is read by many tasks.
 """
 
 from __future__ import annotations
@@ -27,12 +28,14 @@ from millrace.functions.dialect import (
     parse,
 )
 from millrace.names import dedupe, default_names
-from millrace.session import store
 from millrace.sources.lines import records, text_lines
 
 PREVIEW_LIMIT = 100
 MAX_DIALECTS = 1000
 
+# Up to this size a file with line breaks in quoted cells is parsed whole by one task.
+WHOLE_FILE_BYTES = 64 * 1024 * 1024
+
 HEAD_SCHEMA = (
     "path string, sep string, n_cols int, skip_rows int, has_header boolean, "
     "first_cells array<string>"
@@ -70,13 +73,15 @@ def _file_facts(lines: DataFrame) -> DataFrame:
         F.bool_or(quotes % 2 == 1).alias("multiline"),
         F.min_by(F.startswith(F.hex(raw.cast("binary")), F.lit("EFBBBF")), first_line).alias("bom"),
         F.count(F.lit(1)).alias("n_lines"),
+        F.sum(F.octet_length(raw) + 1).alias("n_bytes"),
     )
     encoding = (
         F.when(F.col("__utf8"), charset.UTF8)
         .when(~F.col("__undefined"), charset.CP1252)
         .otherwise(charset.LATIN1)
     )
-    return facts.select("path", encoding.alias("encoding"), "multiline", "bom", "n_lines")
+    kept = ["multiline", "bom", "n_lines", "n_bytes"]
+    return facts.select("path", encoding.alias("encoding"), *kept)
 
 
 def _first_block_runs(batches: Iterator[pd.DataFrame]):
@@ -111,8 +116,8 @@ def profile_lines(lines: DataFrame, sep: str | None = None, expected=None) -> Da
 
 
 def profile_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """One row per file: path, encoding, multiline, bom, n_lines, sep, n_cols, skip_rows,
-    has_header, first_cells. Encoding and multiline come from the whole file, the
+    """One row per file: path, encoding, multiline, bom, n_lines, n_bytes, sep, n_cols,
+    skip_rows, has_header, first_cells. Encoding and multiline come from the whole file, the
     delimiter from its first 4,096 characters."""
     return profile_lines(text_lines(spark, path))
 
@@ -175,12 +180,18 @@ class _Group:
     skip_rows: int
     multiline: bool
     bom: bool
+    large: bool
     first: tuple[str, ...]
     one_first_row: bool
     files: int
 
 
-_KEYS = ["encoding", "sep", "n_cols", "skip_rows", "multiline", "bom"]
+_KEYS = ["encoding", "sep", "n_cols", "skip_rows", "multiline", "bom", "large"]
+
+
+def _sized(profile: DataFrame) -> DataFrame:
+    large = F.col("multiline") & (F.col("n_bytes") > WHOLE_FILE_BYTES)
+    return profile.withColumn("large", large)
 
 
 def _groups(profile: DataFrame, dialect: Dialect) -> list[_Group]:
@@ -188,7 +199,8 @@ def _groups(profile: DataFrame, dialect: Dialect) -> list[_Group]:
         if getattr(dialect, field) is not None:
             profile = profile.withColumn(field, F.lit(getattr(dialect, field)))
     rows = (
-        profile.groupBy(*_KEYS)
+        _sized(profile)
+        .groupBy(*_KEYS)
         .agg(
             F.min("first_cells").alias("lo"),
             F.max("first_cells").alias("hi"),
@@ -230,6 +242,7 @@ def _read_plain(spark, paths, group: _Group, header: bool) -> DataFrame:
     df = (
         spark.read.schema(_text_schema(group.n_cols))
         .options(**_csv_options(group.sep), encoding=charset_name, header=header)
+        .option("multiLine", group.multiline)
         .csv(paths)
     )
     return _all_columns(df, charset.as_cp1252) if group.encoding == charset.CP1252 else df
@@ -247,8 +260,7 @@ def _records(lines: DataFrame, group: _Group) -> DataFrame:
         F.lit(group.sep).alias("sep"),
         F.lit(group.skip_rows).alias("skip"),
     )
-    rows = records(marked).where(F.trim("record") != "")
-    return store(rows.drop("sep"), "records")
+    return records(marked).where(F.trim("record") != "").drop("sep")
 
 
 def _read_records(rows: DataFrame, group: _Group, header: bool) -> DataFrame:
@@ -324,7 +336,7 @@ def read_csv(
 
 def _read_known(spark, path, dialect: Dialect, schema: str) -> DataFrame:
     fields = spark.createDataFrame([], schema).schema.fields
-    group = _Group(dialect.encoding, dialect.sep, len(fields), 0, False, False, (), True, 0)
+    group = _Group(dialect.encoding, dialect.sep, len(fields), 0, False, False, False, (), True, 0)
     text = _blank_as_null(_read_plain(spark, path, group, dialect.header))
     kinds = [f.dataType.simpleString() for f in fields]
     return infer.cast_all(text, kinds).toDF(*[f.name for f in fields])
@@ -362,6 +374,7 @@ def read_csv_lines(
         for field in ("encoding", "skip_rows", "multiline"):
             if getattr(dialect, field) is not None:
                 mine = mine.withColumn(field, F.lit(getattr(dialect, field)))
+        mine = _sized(mine)
         for k in _KEYS:
             mine = mine.where(F.col(k) == F.lit(getattr(g, k)))
         names = [r["path"] for r in mine.select("path").collect()]
@@ -376,7 +389,7 @@ def read_csv_lines(
     def read_rows(header: bool) -> DataFrame:
         frames = []
         for g, files, own_lines in located:
-            if g.skip_rows or g.multiline or not files or (g.bom and not header):
+            if g.skip_rows or g.large or not files or (g.bom and not header):
                 if g not in kept:
                     kept[g] = _records(own_lines, g)
                 frames.append(_read_records(kept[g], g, header))

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from millrace.session import store
+
 MAX_RECORD_CHARS = 64_000_000
 
 
@@ -99,7 +101,11 @@ def records(lines: DataFrame) -> DataFrame:
             "__from": F.last(F.when(F.col("__start"), F.col("pos")), ignorenulls=True).over(upto),
         }
     )
-    base = marked.select("path", "block", "pos", "value", "sep", "__start", "__single", "__from")
+    # Written once: what follows reads it several times.
+    base = store(
+        marked.select("path", "block", "pos", "value", "sep", "__start", "__single", "__from"),
+        "lines",
+    )
     singles = base.where("__single").select(
         "path", "block", "pos", text.alias("record"), "sep"
     )

@@ -131,7 +131,9 @@ TRICKY = (
 )
 
 
-def test_quoted_line_breaks(spark, tmp_path):
+@pytest.mark.parametrize("whole_file_bytes", [C.WHOLE_FILE_BYTES, 0])
+def test_quoted_line_breaks(spark, tmp_path, monkeypatch, whole_file_bytes):
+    monkeypatch.setattr(C, "WHOLE_FILE_BYTES", whole_file_bytes)
     df = C.read_csv(spark, put(tmp_path, "m.csv", TRICKY))
     got = {r["id"]: r["note"] for r in df.collect()}
     assert got == {
