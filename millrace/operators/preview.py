@@ -27,63 +27,77 @@ def page(
     no order of their own); empty past the end.
 
     Near the start this is a top-k. That would hold ``offset + limit`` rows in one place, so
-    further on the rows are counted between sampled cut points and only the stretch the
-    page falls into is sorted, narrowed down until it is small. The result is the same.
+    further on the rows are counted between sampled values and only the stretch the page
+    falls into is sorted, narrowed down until it is small. The result is the same.
     """
     if offset < 0 or limit < 0:
         raise ValueError("offset and limit must not be negative")
-    rows = df
-    while offset + limit > top_rows:
-        narrowed = _stretch(rows, order, offset, limit)
+    rows, by = df, list(order)
+    while by and offset + limit > top_rows:
+        narrowed = _narrow(rows, by, offset, limit)
         if narrowed is None:
             break
-        rows, offset = narrowed
+        rows, by, offset = narrowed
     return rows.orderBy(*sort_columns(order)).offset(offset).limit(limit)
 
 
-def _stretch(df: DataFrame, order: list[Asc], offset: int, limit: int):
-    """(rows of the stretch with the page, offset within it), or None if no cut helps."""
-    names = [o.name for o in order]
-    keys = df.select(*[quote(n) for n in names])
-    total = keys.count()
+def _narrow(df: DataFrame, order: list[Asc], offset: int, limit: int):
+    """(rows of the stretch the page lies in, sort columns left, offset within it), or None
+    if it is all of ``df``.
+
+    Only the first sort column is cut, at sampled values: its rows fall between two values
+    or on one. If the page lies on one value, the next column takes over. The bounds are
+    plain comparisons on a column, which a parquet scan can use to skip.
+    """
+    lead = order[0]
+    column, kind = F.col(quote(lead.name)), df.schema[lead.name].dataType
+    values = df.select(column)
+    total = values.count()
     if offset >= total:
-        return df.where("false"), 0
-    share = min(1.0, 20.0 * CUTS / total)
-    sample = keys.sample(fraction=share, seed=11).orderBy(*sort_columns(order)).collect()
+        return df.where("false"), [], 0
+    sample = values.sample(fraction=min(1.0, 20.0 * CUTS / total), seed=11)
+    sample = [r[0] for r in sample.orderBy(lead.column()).collect()]
     step = max(1, len(sample) // CUTS)
-    cuts = sample[step - 1 :: step]
+    cuts = list(dict.fromkeys(sample[step - 1 :: step]))
     if not cuts:
         return None
-    points = [F.struct(*[F.lit(v).cast(df.schema[n].dataType).alias(n) for n, v in zip(names, c)])
-              for c in cuts]
-    past = [comes_before(p, order) for p in points]
-    counts = keys.groupBy(_piece(past, 0, len(past)).alias("p")).count().collect()
-    sizes = dict.fromkeys(range(len(cuts) + 1), 0) | {r["p"]: r["count"] for r in counts}
+    points = [F.lit(c).cast(kind) for c in cuts]
+    past = [comes_before(F.struct(p.alias(lead.name)), [lead]) for p in points]
+    on = [column.eqNullSafe(p) for p in points]
+    counted = values.groupBy(_piece(past, on, 0, len(cuts)).alias("p")).count().collect()
+    sizes = dict.fromkeys(range(2 * len(cuts) + 1), 0) | {r["p"]: r["count"] for r in counted}
     first, before = 0, 0
     while before + sizes[first] <= offset:
         before += sizes[first]
         first += 1
     last, upto = first, before + sizes[first]
-    while upto < offset + limit and last < len(cuts):
+    while upto < offset + limit and last < 2 * len(cuts):
         last += 1
         upto += sizes[last]
+    if first == last and first % 2:
+        return df.where(on[first // 2]), order[1:], offset - before
     if upto - before >= total:
         return None
     inside = F.lit(True)
-    if first > 0:
-        inside = inside & past[first - 1]
-    if last < len(cuts):
-        inside = inside & ~past[last]
-    return df.where(inside), offset - before
-
-
-def _piece(past: list[Column], low: int, high: int) -> Column:
-    """How many of the sorted cut points lie before the row, by halving."""
+    if first % 2:
+        inside = inside & (past[first // 2] | on[first // 2])
+    elif first:
+        inside = inside & past[first // 2 - 1]
+    if last % 2:
+        inside = inside & ~past[last // 2]
+    elif last < 2 * len(cuts):
+        inside = inside & ~past[last // 2] & ~on[last // 2]
+    return df.where(inside), order, offset - before
+
+
+def _piece(past: list[Column], on: list[Column], low: int, high: int) -> Column:
+    """``2 i + 1`` for rows on cut ``i``, ``2 i`` for rows between it and the one before."""
     if low == high:
-        return F.lit(low)
+        between = F.lit(2 * low)
+        return between if low == len(on) else F.when(on[low], 2 * low + 1).otherwise(between)
     middle = (low + high) // 2
-    return F.when(past[middle], _piece(past, middle + 1, high)).otherwise(
-        _piece(past, low, middle)
+    return F.when(past[middle], _piece(past, on, middle + 1, high)).otherwise(
+        _piece(past, on, low, middle)
     )
 
 

@@ -51,17 +51,25 @@ def csv_roundtrip(spark, sf):
     return csv_source.read_csv(spark, path)
 
 
-# Per order status: delimiter, encoding of the files and a text only that encoding holds.
-STATUS_FORMATS = (("F", ",", "UTF-8", "žluť"), ("O", "|", "ISO-8859-1", "café"), ("P", "\t", "UTF-8", "-"))
+# Delimiter and encoding of the files per order status, and a text the encoding can hold;
+# the last entry is for all other statuses.
+STATUS_FORMATS = (
+    ("F", ",", "UTF-8", "žluť"),
+    ("O", "|", "ISO-8859-1", "café"),
+    (None, "\t", "UTF-8", "-"),
+)
 
 
-def _mixed_files(spark, sf) -> str:
-    orders = table(spark, sf, "orders")
-    folder = workspace(spark, "mixed")
-    for status, sep, encoding, word in STATUS_FORMATS:
-        part = orders.where(F.col("o_orderstatus") == status).withColumn("word", F.lit(word))
-        export_csv(part, f"{folder}/status={status}", sep=sep, encoding=encoding)
-    return [f"{folder}/status={status}" for status, *_ in STATUS_FORMATS]
+def _mixed_files(spark, sf) -> list[str]:
+    status = F.col("o_orderstatus")
+    named = [s for s, *_ in STATUS_FORMATS if s]
+    other = status.isNull() | ~status.isin(*named)
+    folders = []
+    for value, sep, encoding, word in STATUS_FORMATS:
+        part = table(spark, sf, "orders").where(status == value if value else other)
+        folders.append(f"{workspace(spark, 'mixed')}")
+        export_csv(part.withColumn("word", F.lit(word)), folders[-1], sep=sep, encoding=encoding)
+    return folders
 
 
 @checked(
@@ -112,7 +120,7 @@ def _noted_files(spark, df: DataFrame) -> str:
     text = csv_text(df)
     lines = text.select(F.to_csv(F.struct(*text.columns), options).alias("value"))
     path = workspace(spark, "noted")
-    lines.repartition(4).mapInPandas(with_notes, "value string").write.text(path)
+    lines.mapInPandas(with_notes, "value string").write.text(path)
     return path
 
 
@@ -224,14 +232,19 @@ def excel_inventory(spark, sf):
 # --- append and ingest ---------------------------------------------------------------
 
 
+CHUNKS = 4
+
+
 @checked("append_chunks", "SELECT * FROM events")
 def append_chunks(spark, sf):
     events = table(spark, sf, "events")
-    kinds = [r[0] for r in events.select("event_type").distinct().limit(1000).collect()]
+    low, high = events.agg(F.min("event_id"), F.max("event_id")).first()
+    share = (F.col("event_id") - low) * CHUNKS / (high - low + 1)
+    chunk = F.coalesce(F.floor(share), F.lit(0))
     name = "appended events"
     tables.materialize(events.where("false"), name)
-    for kind in kinds:
-        tables.append(events.where(F.col("event_type").eqNullSafe(F.lit(kind))), name)
+    for i in range(CHUNKS):
+        tables.append(events.where(chunk == i), name)
     return spark.table(quote(name))
 
 

@@ -377,12 +377,11 @@ def read_csv_lines(
         mine = _sized(mine)
         for k in _KEYS:
             mine = mine.where(F.col(k) == F.lit(getattr(g, k)))
-        names = [r["path"] for r in mine.select("path").collect()]
-        if plain_path:
-            files = [unquote(n) for n in names]
-            located.append((g, files, text_lines(spark, files)))
-        else:
-            located.append((g, None, lines.where(F.col("path").isin(names))))
+        own = lines.join(mine.select("path"), "path", "left_semi")
+        plainly = plain_path and not (g.skip_rows or g.large)
+        # Paths only, as many as Spark lists on the driver for any read.
+        files = [unquote(r["path"]) for r in mine.select("path").collect()] if plainly else None
+        located.append((g, files, own))
 
     kept: dict[_Group, DataFrame] = {}
 

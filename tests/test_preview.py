@@ -41,7 +41,18 @@ def test_pages(spark):
         want = everything[offset : offset + limit]
         for top in (100_000, 50):
             got = [tuple(r) for r in page(df, order, offset, limit, top_rows=top).collect()]
-            assert [(b, a) for b, a in got] == want, (offset, limit, top)
+            assert got == want, (offset, limit, top)
+
+
+def test_deep_pages_with_nulls_and_ties(spark):
+    df = spark.range(0, 600).select(
+        "id", F.when(F.col("id") % 3 != 0, F.col("id") % 2).alias("m"), F.lit("x").alias("s")
+    ).repartition(4)
+    for order in ([Asc("s"), Asc("m"), Desc("id")], [Desc("m", nulls_first=True), Asc("id")]):
+        everything = df.orderBy(*[o.column() for o in order]).collect()
+        for offset in (0, 150, 199, 390, 595):
+            got = page(df, order, offset, 20, top_rows=30).collect()
+            assert got == everything[offset : offset + 20], (order, offset)
 
 
 def test_preview_and_schema(spark):
