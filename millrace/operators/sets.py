@@ -32,7 +32,10 @@ def _copies(counted: DataFrame, n, portion: int) -> DataFrame:
     last = F.floor((F.col("__n") - 1) / portion).cast("bigint")
     parts = kept.withColumn("__part", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
     size = F.least(F.lit(portion), F.col("__n") - F.col("__part") * portion).cast("int")
-    spread = parts.withColumn("__size", size).repartition(*names, "__part")
+    # A given number of partitions is kept as it is; without one, adaptive execution would
+    # put these few rows, and so all the copies, into one task.
+    tasks = int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = parts.withColumn("__size", size).repartition(tasks, *names, "__part")
     return spread.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__size")))).select(*names)
 
 

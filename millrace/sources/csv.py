@@ -91,11 +91,16 @@ def _first_block_runs(batches: Iterator[pd.DataFrame]):
         yield path, (bytes(v) for _, v in run)
 
 
-def _first_blocks(lines: DataFrame) -> DataFrame:
-    return lines.where("block = 0").select("path", F.col("value").cast("binary").alias("value"))
+def _first_blocks(lines: DataFrame, in_order: bool) -> DataFrame:
+    """Lines of the first block of each file, in order within one task. Lines read from a
+    text file are so already; stored lines have to be brought together."""
+    top = lines.where("block = 0")
+    if not in_order:
+        top = top.repartition("path").sortWithinPartitions("path", "pos")
+    return top.select("path", F.col("value").cast("binary").alias("value"))
 
 
-def _heads(lines: DataFrame, sep: str | None = None, expected=None) -> DataFrame:
+def _heads(lines: DataFrame, sep: str | None, expected, in_order: bool) -> DataFrame:
     def describe(batches):
         for path, run in _first_block_runs(batches):
             taken, size, whole = [], 0, True
@@ -108,11 +113,13 @@ def _heads(lines: DataFrame, sep: str | None = None, expected=None) -> DataFrame
             found = describe_head(decode_head(b"\n".join(taken)), sep, whole, expected)
             yield pd.DataFrame([{"path": path, **found}])
 
-    return _first_blocks(lines).mapInPandas(describe, HEAD_SCHEMA)
+    return _first_blocks(lines, in_order).mapInPandas(describe, HEAD_SCHEMA)
 
 
-def profile_lines(lines: DataFrame, sep: str | None = None, expected=None) -> DataFrame:
-    return _file_facts(lines).join(_heads(lines, sep, expected), "path")
+def profile_lines(
+    lines: DataFrame, sep: str | None = None, expected=None, in_order: bool = True
+) -> DataFrame:
+    return _file_facts(lines).join(_heads(lines, sep, expected, in_order), "path")
 
 
 def profile_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -122,7 +129,9 @@ def profile_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return profile_lines(text_lines(spark, path))
 
 
-def preview_lines(lines: DataFrame, limit: int = PREVIEW_LIMIT) -> DataFrame:
+def preview_lines(
+    lines: DataFrame, limit: int = PREVIEW_LIMIT, in_order: bool = True
+) -> DataFrame:
     if not 1 <= limit <= PREVIEW_LIMIT:
         raise ValueError(f"limit must be between 1 and {PREVIEW_LIMIT}")
 
@@ -156,7 +165,7 @@ def preview_lines(lines: DataFrame, limit: int = PREVIEW_LIMIT) -> DataFrame:
                 }
             )
 
-    return _first_blocks(lines).mapInPandas(preview, PREVIEW_SCHEMA)
+    return _first_blocks(lines, in_order).mapInPandas(preview, PREVIEW_SCHEMA)
 
 
 def preview_csv_text(
@@ -352,14 +361,15 @@ def read_csv_lines(
     can be handed to Spark's CSV reader."""
     spark = lines.sparkSession
     dialect = dialect or Dialect()
-    profile = profile_lines(lines, dialect.sep)
+    in_order = plain_path is not None
+    profile = profile_lines(lines, dialect.sep, None, in_order)
     groups = _groups(profile, dialect)
     if len({g.first for g in groups}) > 1 or not all(g.one_first_row for g in groups):
         # Some heads may have been misread: see whether the commonest first rows are in them.
         shared = [g for g in groups if g.one_first_row]
         top = max((g.files for g in shared), default=0)
         expected = [(g.sep, list(g.first)) for g in shared if 2 * g.files > top]
-        profile = profile_lines(lines, dialect.sep, expected)
+        profile = profile_lines(lines, dialect.sep, expected, in_order)
         groups = _groups(profile, dialect)
     widths = {g.n_cols for g in groups}
     if len(widths) > 1:
