@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace import storage
+
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
@@ -62,9 +64,23 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_made: list[str] = []
+
+
 def workspace(spark: SparkSession, label: str = "run") -> str:
     """A fresh directory name under the shared root."""
-    return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+    _made.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Remove the scratch directories this program has made, once no table it still needs
+    reads them. Stored results of node runs are kept for later runs."""
+    removed = 0
+    while _made:
+        removed += storage.remove(spark, _made.pop())
+    return removed
 
 
 def store(df: DataFrame, label: str) -> DataFrame:

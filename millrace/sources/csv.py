@@ -71,7 +71,7 @@ def _file_facts(lines: DataFrame) -> DataFrame:
         F.bool_and(valid).alias("__utf8"),
         F.coalesce(F.bool_or(undefined), F.lit(False)).alias("__undefined"),
         F.bool_or(quotes % 2 == 1).alias("multiline"),
-        F.min_by(F.startswith(F.hex(raw.cast("binary")), F.lit("EFBBBF")), first_line).alias("bom"),
+        F.min_by(F.hex(F.substring(raw.cast("binary"), 1, 3)) == "EFBBBF", first_line).alias("bom"),
         F.count(F.lit(1)).alias("n_lines"),
         F.sum(F.octet_length(raw) + 1).alias("n_bytes"),
     )
@@ -254,6 +254,8 @@ def _read_plain(spark, paths, group: _Group, header: bool) -> DataFrame:
         .option("multiLine", group.multiline)
         .csv(paths)
     )
+    # Folder names like key=value would add columns the files do not have.
+    df = df.select(*[f"c{i}" for i in range(group.n_cols)])
     return _all_columns(df, charset.as_cp1252) if group.encoding == charset.CP1252 else df
 
 

@@ -214,3 +214,11 @@ def test_a_misread_file_follows_its_folder(spark, tmp_path):
     put(tmp_path, "c.csv", 'id;text\n4;"a, b\n' + "c, d\n" * 2000 + '"\n')
     df = C.read_csv(spark, str(tmp_path))
     assert df.columns == ["id", "text"] and sorted(r["id"] for r in df.collect()) == [1, 2, 3, 4]
+
+
+def test_key_value_folders(spark, tmp_path):
+    for day in ("2024-01-01", "2024-01-02"):
+        (tmp_path / f"day={day}").mkdir()
+        put(tmp_path / f"day={day}", "x y.csv", "id,name\n1,a\n2,b\n")
+    df = C.read_csv(spark, str(tmp_path))
+    assert df.columns == ["id", "name"] and df.count() == 4

@@ -85,6 +85,14 @@ def test_tables(spark, tmp_path):
     assert spark.table("v").count() == 2 and tables.drop(spark, "v")
 
 
+def test_scratch_is_released(spark):
+    from millrace import session
+
+    session._made.clear()
+    kept = session.store(spark.range(3), "scratch")
+    assert kept.count() == 3 and session.release(spark) == 1 and session.release(spark) == 0
+
+
 def test_transform_takes_queries_only(spark):
     tables.register(spark.range(5), "five")
     assert sql_transform(spark, "few", "SELECT id FROM five WHERE id > 2 -- note").count() == 2
