@@ -53,12 +53,13 @@ def targets(
         .withColumn("full_size", F.coalesce(F.sum("source_size").over(before), F.lit(0)))
         .withColumn("full_weight", F.coalesce(F.sum("weight").over(before), F.lit(0)))
     )
-    # The level if exactly the sources before this one were full; the first that holds it stays open.
+    # The level if exactly the sources before this one were full. It holds from the first source that it does
+    # not fill; taking later ones for full as well only lowers it, so that is the largest one that holds.
     level = (F.col("total") * F.lit(float(share)) - F.col("full_size") * F.lit(float(most))) / (
         F.col("all_weight") - F.col("full_weight")
     )
     per = per.withColumn("level", level)
-    open_level = F.min(F.when(F.col("level") <= F.col("full_at"), F.col("level"))).over(everything)
+    open_level = F.max(F.when(F.col("level") <= F.col("full_at"), F.col("level"))).over(everything)
     per = per.withColumn("open_level", open_level)
     target = F.when(
         F.col("open_level").isNull() | (F.col("full_at") < F.col("open_level")), full
@@ -131,7 +132,7 @@ r AS (SELECT *, sum(source_size) OVER () AS total, sum(weight) OVER () AS all_we
   coalesce(sum(source_size) OVER (ORDER BY full_at, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS full_size,
   coalesce(sum(weight) OVER (ORDER BY full_at, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS full_weight FROM l),
 v AS (SELECT *, (total * 1.5::DOUBLE - full_size * 2.0::DOUBLE) / (all_weight - full_weight) AS level FROM r),
-o AS (SELECT *, min(level) FILTER (WHERE level <= full_at) OVER () AS open_level FROM v),
+o AS (SELECT *, max(level) FILTER (WHERE level <= full_at) OVER () AS open_level FROM v),
 t AS (SELECT source, source_size, CASE WHEN open_level IS NULL OR full_at < open_level THEN source_size * 2.0::DOUBLE
   ELSE weight * open_level END AS target FROM o),
 c AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,

@@ -149,9 +149,8 @@ def rounds(runs: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
         while left:
             at = bisect.bisect_left(sizes, length)
             if at == len(sizes):
-                # No successor: as many new sequences as the rest needs when each is filled from it.
-                each = capacity // length
-                n = -(-left // each)
+                # No successor: as many new sequences as the rest fills, then one for what is left over.
+                n = max(left // (capacity // length), 1)
                 open_gap(capacity, made, n)
                 made += n
                 continue

@@ -25,9 +25,9 @@ THRESHOLD = 0.7
 #: Labelled documents of each class that the model is fitted on, at most.
 FIT_ROWS = 12_000
 #: Shares of the pooled covariance and of the diagonal in each class's own.
-POOLED, DIAGONAL = 0.1, 0.1
+POOLED, DIAGONAL = 0.02, 0.02
 #: Standard deviations beyond which a statistic counts no further.
-REACH = 6.0
+REACH = 12.0
 _BYTES = np.arange(256)
 _CLASS = {
     "digit": (_BYTES >= 48) & (_BYTES <= 57),

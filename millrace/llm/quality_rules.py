@@ -82,18 +82,23 @@ def measure(docs: DataFrame, prefix: str = "") -> DataFrame:
     Added columns: ``MEASURES``, ``base_failed`` and the rates of ``STATISTICS``, each named with ``prefix``.
     """
     text = F.coalesce(quoted("text"), F.lit(""))
-    (words,) = fresh(docs, "words_of_text")
-    split = docs.withColumn(words, F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)))
-    w = quoted(words)
-    n = F.size(w)
-    named = {
-        "n_words": n,
-        "word_chars": F.aggregate(w, F.lit(0).cast("long"), lambda a, x: a + F.length(x)),
-        "n_symbols": F.length(text) - F.length(F.translate(text, "#*$%&|<>", "")),
-        "n_dup_lines": _dup_lines(text),
-        "n_repeat_words": _repeat_words(w, n),
-    }
-    counted = split.withColumns({prefix + k: v.cast("long") for k, v in named.items()}).drop(words)
+
+    # One expression, in which the words are split off once; the optimizer may move it but not unfold it.
+    def all_of(w: Column) -> Column:
+        n = F.size(w)
+        named = {
+            "n_words": n,
+            "word_chars": F.aggregate(w, F.lit(0).cast("long"), lambda a, x: a + F.length(x)),
+            "n_symbols": F.length(text) - F.length(F.translate(text, "#*$%&|<>", "")),
+            "n_dup_lines": _dup_lines(text),
+            "n_repeat_words": _repeat_words(w, n),
+        }
+        return F.struct(*[v.cast("long").alias(k) for k, v in named.items()])
+
+    (stats,) = fresh(docs, "statistics_of_text")
+    words = F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))
+    split = docs.withColumn(stats, let(words, all_of))
+    counted = split.withColumns({prefix + k: quoted(stats)[k] for k in MEASURES}).drop(stats)
     c = {k: quoted(prefix + k) for k in MEASURES}
     rate = lambda x: F.floor(x * 1000 / F.greatest(c["n_words"], F.lit(1))).cast("long")
     return counted.withColumns(
@@ -120,17 +125,12 @@ def sketches(measured: DataFrame, prefix: str = "") -> DataFrame:
     Documents that fail the base rules are not counted. Rows are counted where they are read, so a
     source with a third of all rows sends no more than the others.
     """
-    each = F.explode(
-        F.array(
-            *[
-                F.struct(F.lit(s).alias("statistic"), bucket(quoted(prefix + s)).alias("bucket"))
-                for s in STATISTICS
-            ]
-        )
-    ).alias("e")
-    rows = measured.filter(~quoted(prefix + "base_failed")).select(
-        quoted("lang").alias("lang"), quoted("source").alias("source"), each
+    values = F.array(
+        *[F.struct(F.lit(s).alias("statistic"), bucket(quoted(prefix + s)).alias("bucket")) for s in STATISTICS]
     )
+    # Not a filter: that would be moved below the measuring and measure once more.
+    each = F.explode(F.when(~quoted(prefix + "base_failed"), values)).alias("e")
+    rows = measured.select(quoted("lang").alias("lang"), quoted("source").alias("source"), each)
     fine = store(
         rows.groupBy("lang", "source", "e.statistic", "e.bucket").agg(F.count("*").alias("n")), "sketch"
     )
@@ -212,7 +212,8 @@ def judge(measured: DataFrame, per_group: DataFrame, kept: str, prefix: str = ""
     for s in STATISTICS:
         inside = quoted(prefix + s).between(quoted(lim)["low_" + s], quoted(lim)["high_" + s])
         fits = fits & F.coalesce(inside, F.lit(True))
-    verdict = ~quoted(prefix + "base_failed") & fits
+    # One expression over both sides of the join, so that no part of it is moved below the measuring.
+    verdict = F.when(quoted(prefix + "base_failed"), F.lit(False)).otherwise(fits)
     return joined.withColumn(kept, verdict).drop(lang, source, lim)
 
 

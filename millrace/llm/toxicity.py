@@ -1,8 +1,8 @@
 """Toxicity by weak supervision.
 
 Voters are words and beginnings of words that occur mostly in labelled toxic documents. A generative label
-model takes the votes alone: given the class, each voter fires with its own probability, and voters that
-fire together beyond that (their correlations given the class) share their weight. Fitted by EM, it turns
+model takes the votes alone: each voter has an accuracy, the probability of the class when it fires, and voters that
+fire together beyond what the class explains (their correlations) share their weight. Fitted by EM, it turns
 votes into posterior labels, and a linear classifier is trained on those, over votes and their density.
 """
 
@@ -31,6 +31,8 @@ FIT_ROWS = {1: 4_000, 0: 8_000}
 CANDIDATES, VOTERS = 1_500, 96
 #: Lengths of word beginnings that may be voters.
 BEGINNINGS = (3, 4, 5, 6)
+#: How much a share of clean documents that a pattern hits counts against it, to one of toxic ones.
+CAUTION = 12
 ROUNDS = 30
 _WORD = re.compile(r"\w+")
 
@@ -82,13 +84,15 @@ def choose_voters(votes: np.ndarray, y: np.ndarray, most: int = VOTERS) -> list[
     open_ = np.ones(votes.shape[1], bool)
     norms = np.sqrt(toxic.sum(axis=0))
     while len(chosen) < most and open_.any():
-        gain = np.where(open_, need @ toxic - 3 * cost, -np.inf)
+        gain = np.where(open_, need @ toxic - CAUTION * cost, -np.inf)
         best = int(np.argmax(gain))
-        if gain[best] < 0.5:
+        if gain[best] < max(1.0, 0.002 * len(toxic)):
             break
+        alike = (toxic[:, best] @ toxic) / np.maximum(norms * norms[best], 1e-9) >= 0.97
+        # Of patterns that find the same toxic documents, the one that hits fewest others.
+        best = int(np.argmin(np.where(alike & open_, cost, np.inf)))
         chosen.append(best)
-        alike = (toxic[:, best] @ toxic) / np.maximum(norms * norms[best], 1e-9)
-        open_ &= alike < 0.97
+        open_ &= ~alike
         open_[best] = False
         need *= np.where(toxic[:, best] > 0, 0.6, 1.0)
     return chosen
@@ -96,38 +100,42 @@ def choose_voters(votes: np.ndarray, y: np.ndarray, most: int = VOTERS) -> list[
 
 @dataclass
 class LabelModel:
-    """How often each voter fires given the class, and the weight its correlations leave it."""
+    """How often each voter is right when it fires, and the weight its correlations leave it.
 
-    rates: np.ndarray  # 2 x voters
+    A voter that does not fire abstains and says nothing: voters of other languages are no witnesses."""
+
+    accuracies: np.ndarray
     weights: np.ndarray
-    prior: float
+    quiet: float  # share of toxic documents among those without a vote
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        fired = np.log(self.rates[1] / self.rates[0]) * self.weights
-        silent = np.log((1 - self.rates[1]) / (1 - self.rates[0])) * self.weights
-        odds = votes @ (fired - silent) + silent.sum() + np.log(self.prior / (1 - self.prior))
+        base = np.log(self.quiet / (1 - self.quiet))
+        each = (np.log(self.accuracies / (1 - self.accuracies)) - base) * self.weights
+        # However many speak for one document, together they say at least what the best of them says.
+        best = (votes * (each / self.weights)).max(axis=1, initial=0.0)
+        odds = base + np.maximum(votes @ each, best)
         return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
 
 
 def fit_label_model(votes: np.ndarray, start: np.ndarray, rounds: int = ROUNDS) -> LabelModel:
-    """EM over the votes from first guesses ``start`` of the label (a share of votes, no label)."""
+    """EM over the votes from first guesses ``start`` of the labels."""
     votes, p = votes.astype(float), start.astype(float)
+    fired = votes.sum(axis=0)
+    silent = votes.sum(axis=1) == 0
     model = None
     for _ in range(rounds):
-        rates = np.array(
-            [(w @ votes + 0.5 * f) / (w.sum() + f) for w, f in ((1 - p, 2.0), (p, 2.0))]
-        ).clip(1e-5, 1 - 1e-5)
-        rates[1] = np.maximum(rates[1], rates[0])  # voters speak for the class, never against
+        accuracies = ((p @ votes + 1.0) / (fired + 2.0)).clip(0.02, 0.98)
         # Correlations given the class: what two voters share beyond their rates, by posterior weight.
         together = np.zeros((votes.shape[1],) * 2)
-        for w, r in ((1 - p, rates[0]), (p, rates[1])):
-            rest = votes - r
-            cov = (rest * w[:, None]).T @ rest / max(w.sum(), 1.0)
+        for w in (1 - p, p):
+            rest = votes - (w @ votes) / max(w.sum(), 1e-9)
+            cov = (rest * w[:, None]).T @ rest / max(w.sum(), 1e-9)
             sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
             together += np.clip(cov / np.outer(sd, sd), 0, 1) * w.mean()
         np.fill_diagonal(together, 0)
         weights = 1 / (1 + np.where(together > 0.1, together, 0).sum(axis=1))
-        model = LabelModel(rates, weights, float(np.clip(p.mean(), 0.01, 0.9)))
+        quiet = float(np.clip(p[silent].mean() if silent.any() else 0.01, 0.001, 0.05))
+        model = LabelModel(accuracies, weights, quiet)
         new = model.posterior(votes)
         if np.abs(new - p).max() < 1e-4:
             break
@@ -135,7 +143,7 @@ def fit_label_model(votes: np.ndarray, start: np.ndarray, rounds: int = ROUNDS)
     return model
 
 
-def fit_linear(x: np.ndarray, p: np.ndarray, ridge: float = 1.0, steps: int = 25) -> np.ndarray:
+def fit_linear(x: np.ndarray, p: np.ndarray, ridge: float = 0.1, steps: int = 25) -> np.ndarray:
     """Weights (the last is the constant) of a logistic model of the posteriors, by Newton's method."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
@@ -153,9 +161,9 @@ def fit_linear(x: np.ndarray, p: np.ndarray, ridge: float = 1.0, steps: int = 25
 
 
 def features(votes: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """Votes, their number and their share of the text's distinct words."""
+    """Votes, whether there is one, whether two, their number and that in view of the text's distinct words."""
     n = votes.sum(axis=1, keepdims=True)
-    return np.hstack([votes, np.log1p(n), 10 * n / np.sqrt(np.maximum(words, 1))[:, None] / 10])
+    return np.hstack([votes, n > 0, n > 1, np.log1p(n), n / np.sqrt(np.maximum(words, 1))[:, None]])
 
 
 @dataclass
@@ -193,7 +201,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: dict[int, int] = FIT_ROWS) ->
     least = max(2, n_toxic // 500)
     best = (
         counted.filter((F.col("toxic") >= least) & (share("toxic", n_toxic) > 6 * share("clean", n_clean)))
-        .orderBy(F.desc(share("toxic", n_toxic) - 3 * share("clean", n_clean)), F.length("pattern"), "pattern")
+        .orderBy(F.desc(share("toxic", n_toxic) - CAUTION * share("clean", n_clean)), F.length("pattern"), "pattern")
         .limit(CANDIDATES)
         .collect()
     )

@@ -151,9 +151,9 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = K) -> DataFrame:
                 q, c = left[widths[0] == width], right[widths[1] == width]
                 found = best_of(
                     q["vec_id"].to_numpy(np.int64),
-                    np.array(q["v"].tolist(), np.int64).reshape(-1, width),
+                    np.array(q["v"].tolist(), np.int64).reshape(len(q), width),
                     c["vec_id"].to_numpy(np.int64),
-                    np.array(c["v"].tolist(), np.int64).reshape(-1, width),
+                    np.array(c["v"].tolist(), np.int64).reshape(len(c), width),
                     k,
                 )
                 out.append(pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), found))))
