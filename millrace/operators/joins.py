@@ -88,7 +88,8 @@ def interval_count(
         .agg(F.count(F.lit(1)).alias("__n"))
     )
     keyed = intervals.withColumn("__id", F.struct(*intervals.columns))
-    spread = keyed.where(F.col(low) < F.col(high)).withColumn(
+    # Equal intervals count once here and all get the outcome below.
+    spread = keyed.where(F.col(low) < F.col(high)).dropDuplicates(["__id"]).withColumn(
         "__cell",
         F.explode(
             F.sequence(

@@ -5,8 +5,11 @@ A spec is ``{"nodes": [{"id", "type", "table_name", "config"}], "edges": [{"sour
 
 Each node's rows are written once under a fingerprint of what they depend on: the node's
 own inputs, the files behind a source, the fingerprints of its parents and the tables its
-SQL resolves to. A later run finds them there, in this session or another; a change
-anywhere upstream gives another fingerprint, so nothing has to be invalidated. With
+SQL resolves to, with their files. A later run finds them there, in this session or
+another; a change anywhere upstream gives another fingerprint, so nothing has to be
+invalidated. Rows made anew under the same fingerprint are a further version, and the
+newest finished one counts. Databases are read on every run unless the node names a
+``version`` of its data, and queries over time or chance are always run again. With
 ``materialize=False`` nodes stay views, and an export runs as one plan from the sources.
 """
 
@@ -14,7 +17,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import time
+import uuid
 from collections.abc import Callable, Mapping
 from dataclasses import asdict, dataclass, field
 from datetime import datetime, timezone
@@ -28,7 +33,7 @@ from millrace import storage, tables
 from millrace.names import dedupe, quote, safe_path_part
 from millrace.operators.export import export_csv
 from millrace.operators.transform import query
-from millrace.session import shared_root, tune, workspace
+from millrace.session import shared_root, tune
 from millrace.sources import excel, preprocess
 from millrace.sources.csv import read_csv_lines
 from millrace.sources.jdbc import read_db_source
@@ -125,7 +130,7 @@ def drop_changed(spark: SparkSession, old: Mapping, new: Mapping) -> list[str]:
     return sorted(changed)
 
 
-def files_stamp(spark: SparkSession, path: str) -> str:
+def files_stamp(spark: SparkSession, path: str | list[str]) -> str:
     """Hash of the names, lengths and times of the files under ``path``; reads no content."""
     listed = spark.read.format("binaryFile").load(path)
     mark = F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)")
@@ -152,9 +157,9 @@ def _read_excel(spark: SparkSession, config: Mapping) -> DataFrame:
     sheet = str(config.get("selected_sheet", "")).strip()
     path = str(config.get("file_path", "")).strip()
     if not sheet:
-        raise ValueError("Excel source is missing a selected_sheet")
+        raise ValueError("an Excel node needs the name of a sheet in selected_sheet")
     if not path:
-        raise ValueError("Excel source is missing a file_path")
+        raise ValueError("an Excel node needs its workbooks in file_path")
     files = excel.workbook_files(spark, path)
     program = preprocess.normalize(config.get("preprocessing"))
     if program is None:
@@ -177,7 +182,8 @@ def prepare_excel(spark: SparkSession, config: Mapping) -> str:
     files = excel.workbook_files(spark, config["file_path"])
     text = excel.sheet_csv_lines(files, config["selected_sheet"])
     program = preprocess.normalize(config["preprocessing"])
-    lines = preprocess.run_script(text, program, with_content=True)
+    timeout = float(config["preprocessing"].get("timeout_seconds") or preprocess.TIMEOUT_SECONDS)
+    lines = preprocess.run_script(text, program, with_content=True, timeout=timeout)
     target = excel_artifact(spark, config)
     lines.write.mode("overwrite").parquet(target)
     return target
@@ -208,15 +214,30 @@ def _writable(df: DataFrame) -> DataFrame:
     return df.withColumns(untyped) if untyped else df
 
 
-def _stamp(spark: SparkSession, node: Mapping) -> str:
+_VOLATILE = re.compile(
+    r"\b(rand|randn|random|uuid|shuffle|now|current_(date|time|timestamp)|curdate|localtimestamp|unix_timestamp)\b",
+    re.I,
+)
+
+
+def query_stamp(df: DataFrame) -> str:
+    """What a query reads: its plan, and the names, lengths and times of the files it comes to."""
+    folders = sorted({f.rsplit("/", 1)[0] for f in df.inputFiles()})
+    return _digest(df.semanticHash(), folders, files_stamp(df.sparkSession, folders) if folders else "")
+
+
+def _stamp(spark: SparkSession, node: Mapping) -> str | None:
+    """``None`` if the node's rows may differ from run to run, so that they are never reused."""
     config = node.get("config") or {}
     if node["type"] == "csv_source":
         return files_stamp(spark, _source_path(spark, config))
     if node["type"] == "excel_source":
         return files_stamp(spark, config["file_path"])
     if node["type"] == "transform":
-        return str(query(spark, config["sql"]).semanticHash())
-    return ""
+        if _VOLATILE.search(config["sql"]):
+            return None
+        return query_stamp(query(spark, config["sql"]))
+    return _digest(config["version"]) if config.get("version") is not None else None
 
 
 def _write(df: DataFrame, path: str) -> int:
@@ -313,20 +334,26 @@ def _run_node(
     except Exception:  # noqa: BLE001 - building the node reports what is wrong
         stamp = None
     print_ = _digest(node["type"], node_inputs(node), upstream, stamp)
-    path = f"{shared_root(spark)}/nodes/{print_}"
-    if stamp is not None and not fresh and storage.complete(spark, path):
-        df = tables.register_files(spark, name, path)
+    versions = f"{shared_root(spark)}/nodes/{print_}"
+    version = None if fresh or stamp is None else newest_version(spark, versions)
+    if version:
+        df = spark.read.parquet(f"{versions}/{version}")
         result.reused, result.row_count = True, df.count()
     else:
-        df = _writable(build_node(spark, node, credentials))
-        if fresh:
-            # A table being read may be the one of the last run: leave that in place.
-            path = workspace(spark, f"nodes/{safe_path_part(name)}")
-            print_ = _digest(print_, path)
-        result.row_count = _write(df, path)
-        df = tables.register_files(spark, name, path)
+        version = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+        built = _writable(build_node(spark, node, credentials))
+        result.row_count = _write(built, f"{versions}/{version}")
+        df = spark.read.parquet(f"{versions}/{version}")
+    # Registered as rows, not as files: whoever appends to the table gets a copy of it.
+    tables.register(df, name)
     result.column_count, result.columns = len(df.columns), df.columns
-    return print_
+    return _digest(print_, version)
+
+
+def newest_version(spark: SparkSession, folder: str) -> str | None:
+    """The last written of the finished results in ``folder``."""
+    done = [v for v in storage.names(spark, folder) if storage.complete(spark, f"{folder}/{v}")]
+    return max(done, default=None)
 
 
 def _export(spark: SparkSession, node: Mapping, parents: list[Mapping]) -> None:

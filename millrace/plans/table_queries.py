@@ -450,3 +450,18 @@ def schema_report(spark, sf):
 
 def table_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(FRAMES)
+
+
+@checked("dag_reuse_append", "SELECT count(*) AS n, sum(user_id)::BIGINT AS users FROM events")
+def dag_reuse_append(spark, sf):
+    """A count over a table that grows between two runs: the second run must not reuse the first's rows."""
+    events = table(spark, sf, "events")
+    first = F.pmod(F.xxhash64("event_id"), F.lit(2)) == 0
+    name = "growing_events"
+    tables.materialize(events.where(first), name)
+    sql = f"SELECT count(*) AS n, sum(user_id) AS users FROM {name}"
+    spec = {"nodes": [{"id": "n", "type": "transform", "table_name": "event_total", "config": {"sql": sql}}]}
+    dag.run_dag(spark, spec)
+    tables.append(events.where(~first), name)
+    dag.run_dag(spark, spec)
+    return spark.table("event_total")

@@ -20,20 +20,18 @@ ORACLE_PORT = 1521
 DRIVERS = {"postgres": "org.postgresql.Driver", "oracle": "oracle.jdbc.OracleDriver"}
 
 
-def _whole(value, least: int, default: int) -> int:
-    good = isinstance(value, int) and not isinstance(value, bool) and value >= least
-    return value if good else default
+#: Numeric fetch settings: least value, and what stands for a missing or unusable one.
+FETCH_NUMBERS = {"arraysize": (1, DEFAULT_ARRAYSIZE), "prefetchrows": (0, DEFAULT_PREFETCHROWS)}
 
 
-def normalize_fetch_config(config) -> dict:
-    """Fetch settings with bad or missing values replaced by the defaults."""
-    given = config if isinstance(config, Mapping) else {}
-    many = given.get("mode") == "fetchmany"
-    return {
-        "mode": "fetchmany" if many else DEFAULT_MODE,
-        "arraysize": _whole(given.get("arraysize"), 1, DEFAULT_ARRAYSIZE),
-        "prefetchrows": _whole(given.get("prefetchrows"), 0, DEFAULT_PREFETCHROWS),
-    }
+def fetch_settings(config) -> dict:
+    """Mode and numbers of a fetch. Whatever is missing, of another type or too small is the default."""
+    given = dict(config) if isinstance(config, Mapping) else {}
+    settings = {"mode": "fetchmany" if given.get("mode") == "fetchmany" else DEFAULT_MODE}
+    for name, (least, default) in FETCH_NUMBERS.items():
+        value = given.get(name)
+        settings[name] = value if type(value) is int and value >= least else default
+    return settings
 
 
 def jdbc_url(db_type: str, connection: Mapping) -> str:
@@ -65,7 +63,7 @@ def read_options(
     ``partition`` (column, lower, upper, num_partitions) the result is read in parallel
     ranges of that column; the outer ranges are open, so no row is left out.
     """
-    fetch = normalize_fetch_config(fetch_config)
+    fetch = fetch_settings(fetch_config)
     out = {"url": url, "dbtable": as_subquery(query), "fetchsize": str(fetch["arraysize"])}
     if partition:
         out |= {
@@ -91,12 +89,9 @@ def read_query(
 ) -> DataFrame:
     """Result of ``query``. User, password and driver are given in ``options``.
 
-    ``fetchmany`` is for results too large for one reader: it needs ``partition`` with a
-    column and ``num_partitions``; missing bounds are asked from the database.
+    Rows come in portions of the fetch size, never whole. For results too large for one reader
+    ``partition`` names a column and ``num_partitions``; missing bounds are asked from the database.
     """
-    fetch = normalize_fetch_config(fetch_config)
-    if fetch["mode"] == "fetchmany" and not partition:
-        raise ValueError("fetchmany needs a partition column to read in parallel")
     if partition and ("lower" not in partition or "upper" not in partition):
         lo_hi = read_options(url, bounds_query(query, partition["column"]), None, None, options)
         row = spark.read.format("jdbc").options(**lo_hi).load().first()

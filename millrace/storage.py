@@ -23,3 +23,9 @@ def complete(spark: SparkSession, path: str) -> bool:
 def remove(spark: SparkSession, path: str) -> bool:
     fs, target = _located(spark, path)
     return fs.exists(target) and fs.delete(target, True)
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what a folder holds; none if there is no such folder."""
+    fs, target = _located(spark, path)
+    return [f.getPath().getName() for f in fs.listStatus(target)] if fs.exists(target) else []

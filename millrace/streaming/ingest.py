@@ -22,13 +22,15 @@ def ingest_csv(
 
     Which files were taken in is kept in ``checkpoint_dir``, and the parquet sink lists the
     files of finished batches only, so a run that was cut off is simply run again: each
-    file's rows end up in the table once.
+    file's rows end up in the table once. A file whose header names other columns than
+    ``schema``, or in another order, is an error and not read by position.
     """
     reader = spark.readStream.schema(schema).options(
         header=header,
         sep=sep,
         escape='"',
         mode="FAILFAST",
+        enforceSchema="false",
         ignoreLeadingWhiteSpace="false",
         ignoreTrailingWhiteSpace="false",
     )

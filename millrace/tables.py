@@ -48,7 +48,11 @@ def append(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = spark.conf.get(_setting(name), None)
     if path is None:
-        raise ValueError(f"table {name!r} is not materialized")
+        if not exists(spark, name):
+            raise ValueError(f"there is no table {name!r}")
+        # A view, or the stored result of a node: that stays as it is, and the table goes on as a copy.
+        materialize(spark.table(quote(name)), name)
+        path = spark.conf.get(_setting(name))
     target = spark.table(quote(name)).schema.fields
     if len(target) != len(df.columns):
         raise ValueError(f"{name!r} has {len(target)} columns, not {len(df.columns)}")

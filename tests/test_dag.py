@@ -2,6 +2,7 @@ import pytest
 
 from millrace import tables
 from millrace.plans import dag
+from millrace.session import release
 from millrace.sources import preprocess
 from tests.test_csv import OFFICE, SAMPLE, put
 
@@ -108,3 +109,58 @@ def test_views_and_export(spark, chain, tmp_path):
     bad = node("x", "export", format="xml", path="y")
     failed = by_id(dag.run_dag(spark, spec(chain["nodes"] + [bad], ("src", "x"))))
     assert failed["x"]["status"] == "error"
+
+
+def one(id_, sql):
+    return spec([node(id_, "transform", sql=sql)])
+
+
+def test_append_is_seen_by_the_next_run(spark):
+    tables.materialize(spark.range(3).toDF("x"), "grown")
+    count = one("grown_n", "SELECT count(*) AS n FROM grown")
+    dag.run_dag(spark, count)
+    assert by_id(dag.run_dag(spark, count))["grown_n"]["reused"]
+    tables.append(spark.range(2).toDF("x"), "grown")
+    assert not by_id(dag.run_dag(spark, count))["grown_n"]["reused"]
+    assert spark.table("grown_n").first()[0] == 5
+
+
+def test_databases_are_read_on_every_run(spark, monkeypatch):
+    size = [3]
+    monkeypatch.setattr(dag, "read_db_source", lambda s, config, given: s.range(size[0]).toDF("x"))
+    plain, pinned = (spec([node(i, "db_source", query="q", **more)]) for i, more in (("db", {}), ("pin", {"version": 1})))
+    for graph in (plain, pinned):
+        dag.run_dag(spark, graph)
+    size[0] = 9
+    assert by_id(dag.run_dag(spark, plain))["db"]["row_count"] == 9
+    again = by_id(dag.run_dag(spark, pinned))["pin"]
+    assert again["reused"] and again["row_count"] == 3
+
+
+def test_forced_rows_stay(spark, monkeypatch):
+    size = [3]
+    monkeypatch.setattr(dag, "read_db_source", lambda s, config, given: s.range(size[0]).toDF("x"))
+    graph = spec(
+        [node("f", "db_source", query="q", version=2), node("g", "transform", sql="SELECT count(*) AS n FROM f")], ("f", "g")
+    )
+    dag.run_dag(spark, graph)
+    size[0] = 5
+    dag.run_dag(spark, graph, force=True)
+    release(spark)
+    assert spark.table("f").count() == 5
+    later = by_id(dag.run_dag(spark, graph))
+    assert later["f"]["reused"] and later["g"]["reused"] and spark.table("g").first()[0] == 5
+
+
+def test_appending_to_a_result_leaves_it(spark):
+    graph = one("kept_m", "SELECT id AS x FROM range(4)")
+    dag.run_dag(spark, graph)
+    tables.append(spark.range(1).toDF("x"), "kept_m")
+    assert spark.table("kept_m").count() == 5
+    assert by_id(dag.run_dag(spark, graph))["kept_m"]["row_count"] == 4
+
+
+def test_chance_is_not_reused(spark):
+    graph = one("dice", "SELECT rand() AS r")
+    dag.run_dag(spark, graph)
+    assert not by_id(dag.run_dag(spark, graph))["dice"]["reused"]

@@ -8,9 +8,9 @@ from millrace.sources import jdbc as J
 def test_fetch_config():
     default = {"mode": "fetchall", "arraysize": 100, "prefetchrows": 2}
     for bad in (None, "x", {}, {"mode": "?", "arraysize": 0, "prefetchrows": -1}, {"arraysize": "5"}):
-        assert J.normalize_fetch_config(bad) == default
+        assert J.fetch_settings(bad) == default
     good = {"mode": "fetchmany", "arraysize": 5, "prefetchrows": 0}
-    assert J.normalize_fetch_config(good) == good
+    assert J.fetch_settings(good) == good
 
 
 def test_urls():
@@ -30,5 +30,5 @@ def test_options():
         "lowerBound": "1", "upperBound": "99", "numPartitions": "8", "user": "x",
     }
     assert J.bounds_query("SELECT 1", "id").startswith("SELECT min(id) AS lo, max(id) AS hi FROM (")
-    with pytest.raises(ValueError):
-        J.read_query(None, "u", "q", fetch_config={"mode": "fetchmany"})
+    many = J.read_options("u", "q", {"mode": "fetchmany", "arraysize": 500})
+    assert many["fetchsize"] == "500" and "partitionColumn" not in many
