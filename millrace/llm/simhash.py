@@ -5,8 +5,10 @@ sample cuts the space of fingerprints into shards: a node sends what lies within
 vantage point one way and the rest the other. By the triangle inequality two fingerprints within ``bits``
 of each other can only be parted if the farther one lies within ``bits`` outside the radius, so exactly
 that strip is sent both ways and every close pair meets in some shard. In a shard the same cut
-is repeated until few are left, and those are compared outright. A shard returns which of its
-fingerprints hang together, one row each, never the pairs; what several shards found is then joined up.
+is repeated while it parts the points; what is left is compared exactly: two fingerprints that differ in
+``bits`` bits agree in one of ``bits + 1`` stretches of them, so only those that share a stretch are. A
+shard returns which of its fingerprints hang together, one row each, never the pairs; what several
+shards found is then joined up.
 """
 
 from __future__ import annotations
@@ -28,14 +30,15 @@ SHINGLE = 3
 BITS = 3
 SEED = 42
 #: Fingerprints wanted in a shard, before the strips are added.
-SHARD = 16_384
+SHARD = 65_536
 #: Bounds of the sample that the tree is built from, and of its leaves.
-SAMPLE = 32_768
-MOST_SHARDS = 2_048
-#: Larger shards (one dense cloud that no radius cuts) are compared block against block, a task each.
-BLOCK = 32_768
-#: Fingerprints compared outright.
-LEAF = 192
+SAMPLE = 131_072
+MOST_SHARDS = 8_192
+#: Larger shards (one dense cloud that no radius cuts) are compared block against block, a task each. It is
+#: a few times ``SHARD``, as strips make shards larger than wanted.
+BLOCK = 262_144
+#: Fingerprints that are cut no further.
+LEAF = 4_096
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
@@ -163,35 +166,36 @@ class _Groups:
             np.minimum.at(self.of, np.maximum(ra, rb), np.minimum(ra, rb))
 
 
-def link_close(points: np.ndarray, bits: int = BITS, split_at: int | None = None) -> np.ndarray:
-    """For distinct ``points`` the number of each one's group under links of at most ``bits``.
-
-    With ``split_at`` only links between the first ``split_at`` points and the others are looked for.
-    """
+def link_close(points: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """For distinct ``points`` the number of each one's group under links of at most ``bits``."""
     groups = _Groups(len(points))
+    edges = np.linspace(0, 64, bits + 2).astype(int)
+
+    def compare(own: np.ndarray) -> None:
+        for low, high in zip(edges, edges[1:]):
+            stretch = points[own] << np.uint64(64 - high) >> np.uint64(64 - high + low)
+            order = np.argsort(stretch)
+            key, sorted_ = stretch[order], own[order]
+            # Each point with the next, the one after that, and so on within its run of equal stretches.
+            at, step = np.arange(len(own) - 1), 1
+            while len(at):
+                at = at[at + step < len(own)]
+                at = at[key[at] == key[at + step]]
+                a, b = sorted_[at], sorted_[at + step]
+                near = np.bitwise_count(points[a] ^ points[b]) <= bits
+                groups.link(a[near], b[near])
+                step += 1
 
-    def compare(a: np.ndarray, b: np.ndarray) -> None:
-        for at in range(0, len(a), 512):
-            rows = a[at : at + 512]
-            for to in range(at // 2048 * 2048 if a is b else 0, len(b), 2048):
-                columns = b[to : to + 2048]
-                i, j = np.nonzero(np.bitwise_count(points[rows][:, None] ^ points[columns][None, :]) <= bits)
-                groups.link(rows[i], columns[j])
-
-    if split_at is not None:
-        compare(np.arange(split_at), np.arange(split_at, len(points)))
-        return groups.roots(np.arange(len(points)))
     todo = [np.arange(len(points))]
     while todo:
         own = todo.pop()
         if len(own) > LEAF:
-            vantage = points[own[len(own) // 2]]
-            d = distances(points[own], vantage)
+            d = distances(points[own], points[own[len(own) // 2]])
             radius = _radius(d, bits)
             if radius is not None:
                 todo += [own[d <= radius + bits], own[d > radius]]
                 continue
-        compare(own, own)
+        compare(own)
     return groups.roots(np.arange(len(points)))
 
 
@@ -227,16 +231,14 @@ def shard_groups(prints: DataFrame, bits: int = BITS) -> DataFrame:
         .select("fp", "shard", own.alias("own"), other.alias("other"))
         .select(
             "fp",
-            "own",
             F.concat_ws("-", "shard", F.least("own", "other"), F.greatest("own", "other")).alias("part"),
         )
     )
 
     def linked(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["own", "fp"])
+        frame = frame.sort_values("fp")
         points = frame["fp"].to_numpy(np.int64).view(np.uint64)
-        two = frame["own"].iloc[0] != frame["own"].iloc[-1]
-        root = link_close(points, bits, int((frame["own"] == frame["own"].iloc[0]).sum()) if two else None)
+        root = link_close(points, bits)
         _, index, count = np.unique(root, return_inverse=True, return_counts=True)
         out = pd.DataFrame({"fp": frame["fp"].to_numpy(), "part": frame["part"].to_numpy(), "root": points[root].view(np.int64)})
         return out[count[index] > 1]
