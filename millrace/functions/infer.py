@@ -37,10 +37,6 @@ COVERS = (
 )
 
 
-# Longer values are text without a look at them.
-LONGEST_TYPED = 512
-
-
 def value_class(c: Column) -> Column:
     """The class bit of a text value; null for null. A flat chain, each pattern once."""
     v = F.trim(c)
@@ -53,7 +49,6 @@ def value_class(c: Column) -> Column:
     )
     return (
         F.when(c.isNull(), F.lit(None).cast("int"))
-        .when(F.octet_length(c) > LONGEST_TYPED, TEXT)
         .when(v.rlike(INT_PATTERN), whole)
         .when(v.rlike(NUMBER_PATTERN) | F.lower(v).isin(*DOUBLE_WORDS), DOUBLE)
         .when(F.lower(v).isin(*BOOL_WORDS), BOOL)

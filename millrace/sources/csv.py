@@ -15,7 +15,7 @@ from itertools import groupby
 from urllib.parse import unquote
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import charset, infer
@@ -31,7 +31,6 @@ from millrace.names import dedupe, default_names
 from millrace.sources.lines import records, text_lines
 
 PREVIEW_LIMIT = 100
-MAX_DIALECTS = 1000
 
 # Up to this size a file with line breaks in quoted cells is parsed whole by one task.
 WHOLE_FILE_BYTES = 64 * 1024 * 1024
@@ -215,13 +214,10 @@ def _groups(profile: DataFrame, dialect: Dialect) -> list[_Group]:
             F.max("first_cells").alias("hi"),
             F.count(F.lit(1)).alias("files"),
         )
-        .limit(MAX_DIALECTS + 1)
         .collect()
     )
     if not rows:
         raise FileNotFoundError("no CSV file with any line")
-    if len(rows) > MAX_DIALECTS:
-        raise ValueError(f"the files have more than {MAX_DIALECTS} dialects")
     return [
         _Group(*[r[k] for k in _KEYS], tuple(r["lo"]), r["lo"] == r["hi"], r["files"]) for r in rows
     ]
@@ -263,15 +259,20 @@ def _records(lines: DataFrame, group: _Group) -> DataFrame:
     """The group's records, put together once: they are read for the types and again for
     the rows."""
     text = charset.decode_line(F.col("value"), F.lit(group.encoding))
+    if group.bom:
+        # A mark at the start of the file only: anywhere else it is part of a cell.
+        top = (F.col("block") == 0) & (F.row_number().over(Window.partitionBy("path", "block").orderBy("pos")) == 1)
+        text = F.when(top, F.regexp_replace(text, "^﻿", "")).otherwise(text)
     marked = lines.select(
         "path",
         "block",
         "pos",
-        F.regexp_replace(text, "^﻿", "").alias("value"),
+        text.alias("value"),
         F.lit(group.sep).alias("sep"),
         F.lit(group.skip_rows).alias("skip"),
     )
-    return records(marked).where(F.trim("record") != "").drop("sep")
+    # Empty lines are no records; a line of blanks is one, as it is to the other reader.
+    return records(marked).where(F.col("record") != "").drop("sep")
 
 
 def _read_records(rows: DataFrame, group: _Group, header: bool) -> DataFrame:

@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 
 from millrace.session import store
 
-MAX_RECORD_CHARS = 64_000_000
-
 
 def text_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Raw lines; ``value`` keeps the file's bytes. Text is split at ``\\n`` only, so a
@@ -133,7 +131,6 @@ def records(lines: DataFrame) -> DataFrame:
             ).otherwise(F.col("__open")),
         )
     )
-    _check_record_size(multi)
     parts = F.array_sort(F.collect_list(F.struct("block", "pos", "value")))
     joined = F.regexp_replace(
         F.array_join(F.transform(parts, lambda p: p.getField("value")), "\n"), r"\r$", ""
@@ -142,15 +139,3 @@ def records(lines: DataFrame) -> DataFrame:
     return singles.unionByName(
         grouped.select("path", "__rec.block", "__rec.pos", "record", "sep")
     )
-
-
-def _check_record_size(multi: DataFrame) -> None:
-    """Refuse a quote that never closes before its record is put together."""
-    largest = (
-        multi.groupBy("path", "__rec")
-        .agg(F.sum(F.length("value")).alias("n"))
-        .agg(F.max("n"))
-        .first()[0]
-    )
-    if largest and largest > MAX_RECORD_CHARS:
-        raise ValueError(f"a CSV record spans {largest} characters: unclosed quote?")

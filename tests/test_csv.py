@@ -143,6 +143,22 @@ def test_quoted_line_breaks(spark, tmp_path, monkeypatch, whole_file_bytes):
     assert df.dtypes == [("id", "bigint"), ("note", "string"), ("n", "bigint")]
 
 
+@pytest.mark.parametrize("whole_file_bytes", [C.WHOLE_FILE_BYTES, 0])
+def test_blank_lines_and_inner_marks(spark, tmp_path, monkeypatch, whole_file_bytes):
+    """Lines of blanks are rows and inner byte order marks are text, however large the file is."""
+    monkeypatch.setattr(C, "WHOLE_FILE_BYTES", whole_file_bytes)
+    text = 'word,n\n"a\nb",1\n  ,\n﻿x,2\n\ny,3\n'
+    got = C.read_csv(spark, put(tmp_path, "blank.csv", text)).collect()
+    assert sorted((r["word"], r["n"] or 0) for r in got) == sorted(
+        [("a\nb", 1), ("  ", 0), ("﻿x", 2), ("y", 3)]
+    )
+
+
+def test_long_numbers_are_numbers(spark, tmp_path):
+    df = C.read_csv(spark, put(tmp_path, "long.csv", "id,x\n1,1\n2,0." + "3" * 600 + "\n"))
+    assert df.dtypes == [("id", "bigint"), ("x", "double")]
+
+
 @pytest.mark.parametrize("block", [1, 2, 3, 5])
 def test_records_across_blocks(spark, tmp_path, block):
     """Block borders anywhere, also inside quoted cells, give the same records."""
