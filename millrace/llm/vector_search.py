@@ -123,8 +123,8 @@ def best_of(
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = K) -> DataFrame:
     """``query_id, rank, vec_id, score`` for stored whole vectors ``(vec_id, v)``.
 
-    Vectors of different lengths do not match: a query is compared with those of its own length. Rows
-    that repeat a query's id give that query once per distinct vector set; candidates that repeat count each.
+    Vectors of different lengths do not match: a query is compared with those of its own length. ``queries``
+    has one row per id; candidates that repeat count each.
     """
     n_queries, n = queries.count(), candidates.count()
     blocks = max(1, -(-n_queries // QUERY_BLOCK))
@@ -175,9 +175,10 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = K) -> DataFrame:
 
 def searched(embeddings: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     """The k best of every row whose id is divisible by ``every``, against all rows but those of its own id.
-    Queries with no other usable vector, and empty tables, give no rows."""
+    Queries with no other usable vector, and empty tables, give no rows. Of rows that repeat a query's id
+    the least vector asks."""
     vectors = store(whole_vectors(embeddings), "vectors")
-    queries = vectors.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
+    queries = vectors.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
     return top_k(queries, vectors, k)
 
 
