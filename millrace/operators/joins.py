@@ -5,10 +5,12 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.operators.hot import ROWS_PER_TASK, hot_keys
+from millrace.session import store
+
+PIECES = 200
 
 
 def join_unique(
@@ -16,39 +18,21 @@ def join_unique(
     right: DataFrame,
     on: dict[str, str],
     how: str = "inner",
-    rows_per_task: int = ROWS_PER_TASK,
     null_safe: bool = False,
 ) -> DataFrame:
     """Join ``left`` (any number of rows per key) to ``right`` (one row per key at most).
 
-    ``on`` maps left key to right key; ``how`` is inner, left, left_semi or left_anti.
-    Keys with too many left rows are joined apart: ``right`` cut to those keys has at most
-    as many rows as there are hot keys, which is bounded, so that part is a broadcast and
-    its left rows are never shuffled. All other rows take the ordinary join. With
-    ``null_safe`` a null key matches a null key.
+    ``on`` maps left key to right key; ``how`` is inner, left, left_semi or left_anti. In all of
+    these adaptive execution may split the left rows of a hot key over tasks, each with that
+    key's one right row, and the session's settings make it do so. With ``null_safe`` a null
+    key matches a null key.
     """
     same = Column.eqNullSafe if null_safe else Column.__eq__
-    cond = reduce(and_, [same(left[l], right[r]) for l, r in on.items()])
-    hot = hot_keys(left, list(on), rows_per_task)
-    if not hot:
-        return left.join(right, cond, how)
-    marks = [f"__h{i}" for i in range(len(on))]
-    listed = F.broadcast(hot.frame(left.sparkSession).toDF(*marks))
-    hit_left = reduce(and_, [left[l].eqNullSafe(listed[m]) for l, m in zip(on, marks)])
-    hit_right = reduce(and_, [right[r].eqNullSafe(listed[m]) for r, m in zip(on.values(), marks)])
-    hot_right = F.broadcast(right.join(listed, hit_right, "left_semi"))
-    hot_part = left.join(listed, hit_left, "left_semi").join(hot_right, cond, how)
-    rest = left.join(listed, hit_left, "left_anti").join(right, cond, how)
-    return rest.unionByName(hot_part)
+    return left.join(right, reduce(and_, [same(left[l], right[r]) for l, r in on.items()]), how)
 
 
 def foreign_key_join(
-    facts: DataFrame,
-    dim: DataFrame,
-    fact_key: str,
-    dim_key: str,
-    keep: str = "facts",
-    rows_per_task: int = ROWS_PER_TASK,
+    facts: DataFrame, dim: DataFrame, fact_key: str, dim_key: str, keep: str = "facts"
 ) -> DataFrame:
     """Outer joins between many-rows-per-key ``facts`` and one-row-per-key ``dim``.
 
@@ -58,7 +42,7 @@ def foreign_key_join(
     facts' distinct keys; the distinct is combined before the shuffle.
     """
     how = "left" if keep in ("facts", "both") else "inner"
-    matched = join_unique(facts, dim, {fact_key: dim_key}, how, rows_per_task)
+    matched = join_unique(facts, dim, {fact_key: dim_key}, how)
     if keep == "facts":
         return matched
     present = facts.select(F.col(fact_key).alias("__k")).distinct()
@@ -67,42 +51,52 @@ def foreign_key_join(
 
 
 def interval_count(
-    points: DataFrame,
-    intervals: DataFrame,
-    value: str,
-    low: str,
-    high: str,
-    width: float,
+    points: DataFrame, intervals: DataFrame, value: str, low: str, high: str
 ) -> DataFrame:
     """Number of ``points`` with ``low <= value < high`` for every interval row.
 
-    The theta join is turned into an equi join on grid cells of the given ``width``, and
-    the points are first counted per distinct value within a cell, so a value or cell that
-    holds most of the rows reaches the join as few rows. Intervals are repeated once per
-    cell they touch. Intervals without points get 0.
+    That is the points below ``high`` less those below ``low``: a running count over the
+    distinct values and bounds, looked up twice. No point ever meets an interval, so the work
+    is that of a sort however many intervals overlap. Intervals without points, empty ones and
+    those with a null bound get 0.
     """
-    cell = F.floor(F.col(value) / F.lit(float(width))).cast("bigint")
-    counted = (
-        points.where(F.col(value).isNotNull())
-        .groupBy(cell.alias("__cell"), F.col(value).alias("__v"))
-        .agg(F.count(F.lit(1)).alias("__n"))
-    )
-    keyed = intervals.withColumn("__id", F.struct(*intervals.columns))
-    # Equal intervals count once here and all get the outcome below.
-    spread = keyed.where(F.col(low) < F.col(high)).dropDuplicates(["__id"]).withColumn(
-        "__cell",
-        F.explode(
-            F.sequence(
-                F.floor(F.col(low) / F.lit(float(width))).cast("bigint"),
-                F.floor(F.col(high) / F.lit(float(width))).cast("bigint"),
-            )
-        ),
+    weighed = [
+        df.where(F.col(c).isNotNull()).select(
+            F.col(c).alias("__at"), F.lit(weight).cast("bigint").alias("__n")
+        )
+        for df, c, weight in ((points, value, 1), (intervals, low, 0), (intervals, high, 0))
+    ]
+    steps = reduce(DataFrame.unionByName, weighed).groupBy("__at").agg(F.sum("__n").alias("__n"))
+    below = _counts_below(store(steps, "interval-steps"))
+    lows = below.select(F.col("__at").alias("__low_at"), F.col("__below").alias("__low"))
+    highs = below.select(F.col("__at").alias("__high_at"), F.col("__below").alias("__high"))
+    found = intervals.join(lows, F.col(low) == F.col("__low_at"), "left")
+    found = found.join(highs, F.col(high) == F.col("__high_at"), "left")
+    within = F.when(F.col(low) < F.col(high), F.col("__high") - F.col("__low")).otherwise(F.lit(0))
+    return found.select(*intervals.columns, within.alias("n"))
+
+
+def _counts_below(steps: DataFrame) -> DataFrame:
+    """``__below`` for each distinct ``__at``: the sum of ``__n`` over all smaller ones.
+
+    The values are cut into ``PIECES`` runs of about equal length, each summed by itself; the
+    table of the pieces' totals has a row per piece and is broadcast.
+    """
+    shares = [i / PIECES for i in range(1, PIECES)]
+    cuts = steps.agg(F.percentile_approx("__at", shares, 10_000)).first()[0] or []
+    at = F.col("__at")
+    points = F.array(*[F.lit(c) for c in dict.fromkeys(cuts)])
+    piece = F.size(F.filter(points, lambda c: c < at)) if cuts else F.lit(0)
+    pieces = steps.withColumn("__piece", piece)
+    earlier = (Window.unboundedPreceding, -1)
+    before = F.sum("__total").over(Window.orderBy("__p").rowsBetween(*earlier))
+    totals = pieces.groupBy(F.col("__piece").alias("__p")).agg(F.sum("__n").alias("__total"))
+    totals = totals.select("__p", before.alias("__before"))
+    own = F.sum("__n").over(Window.partitionBy("__piece").orderBy("__at").rowsBetween(*earlier))
+    joined = pieces.withColumn("__own", own).join(
+        F.broadcast(totals), F.col("__piece") == F.col("__p")
     )
-    hits = (
-        counted.join(spread, "__cell")
-        .where((F.col("__v") >= F.col(low)) & (F.col("__v") < F.col(high)))
-        .groupBy("__id")
-        .agg(F.sum("__n").alias("__n"))
+    zero = F.lit(0).cast("bigint")
+    return joined.select(
+        "__at", (F.coalesce("__own", zero) + F.coalesce("__before", zero)).alias("__below")
     )
-    joined = keyed.join(hits, "__id", "left")
-    return joined.select(*intervals.columns, F.coalesce("__n", F.lit(0)).alias("n"))

@@ -422,7 +422,5 @@ def trailing_count(
         "__of",
         (F.col("__end") - F.coalesce("__early", F.lit(0))).alias(out),
     )
-    joined = join_unique(
-        df, counts, {key: "__by", time: "__of"}, "left", rows_per_task, null_safe=True
-    )
+    joined = join_unique(df, counts, {key: "__by", time: "__of"}, "left", null_safe=True)
     return joined.select(*df.columns, out)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import joins, ordering, sets
 from millrace.operators.ordering import Asc, Desc
-from millrace.operators.quantile import exact_quantile
+from millrace.operators.quantile import exact_quantiles
 from millrace.operators.transform import query
 from millrace.plans.sources import register_named, table
 from millrace.session import tune
@@ -173,7 +173,7 @@ def q_theta(spark, sf):
         .agg(F.min("s_acctbal").alias("lo"), F.max("s_acctbal").alias("hi"))
     )
     points = table(spark, sf, "customer").select("c_acctbal")
-    return joins.interval_count(points, bands, "c_acctbal", "lo", "hi", width=500.0)
+    return joins.interval_count(points, bands, "c_acctbal", "lo", "hi")
 
 
 @frame(
@@ -275,9 +275,8 @@ def q_quant(spark, sf):
         F.round(F.stddev_samp("value"), 6).alias("sd"),
         F.max_by("event_id", F.struct("value", "event_id")).alias("mb"),
     )
-    half = exact_quantile(events, ["event_type"], "value", 0.5, "m")
-    high = exact_quantile(events, ["event_type"], "value", 0.9, "p90")
-    out = plain.join(half, "event_type", "left").join(high, "event_type", "left")
+    exact = exact_quantiles(events, ["event_type"], "value", {"m": 0.5, "p90": 0.9})
+    out = plain.join(exact, "event_type", "left")
     return out.withColumns({"m": F.round("m", 6), "p90": F.round("p90", 6)})
 
 
@@ -370,6 +369,83 @@ def q_range(spark, sf):
     return out.select("event_id", "s")
 
 
+# The same operators where a few keys hold all rows, cut into pieces of a sixteenth of the table.
+SHARES = 16
+
+
+def _piece_rows(df: DataFrame) -> int:
+    return max(1, df.count() // SHARES)
+
+
+@frame(
+    "q_rank_hot",
+    """SELECT o_orderkey, row_number() OVER w AS rn, rank() OVER w AS r,
+              dense_rank() OVER w AS dr, ntile(7) OVER w AS nt
+       FROM orders WINDOW w AS (PARTITION BY o_orderstatus ORDER BY o_totalprice, o_orderkey)""",
+)
+def q_rank_hot(spark, sf):
+    orders = table(spark, sf, "orders").select("o_orderstatus", "o_totalprice", "o_orderkey")
+    ranked = ordering.rank_rows(
+        orders,
+        ["o_orderstatus"],
+        [Asc("o_totalprice"), Asc("o_orderkey")],
+        row_number="rn",
+        rank="r",
+        dense_rank="dr",
+        ntile=("nt", 7),
+        rows_per_task=_piece_rows(orders),
+    )
+    return ranked.drop("o_orderstatus", "o_totalprice")
+
+
+@frame(
+    "q_lag_hot",
+    """SELECT event_id, lag(value) OVER w AS p, lead(value) OVER w AS n,
+              first_value(value) OVER w AS f
+       FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)""",
+)
+def q_lag_hot(spark, sf):
+    events = table(spark, sf, "events").select("event_id", "event_type", "ts", "value")
+    columns = {"p": lambda w: F.lag("value").over(w), "n": lambda w: F.lead("value").over(w)}
+    order, rows = [Asc("ts"), Asc("event_id")], _piece_rows(events)
+    out = ordering.rows_frame(
+        events, ["event_type"], order, columns, 1, 1, {"f": "value"}, rows_per_task=rows
+    )
+    return out.select("event_id", "p", "n", "f")
+
+
+@frame(
+    "q_range_hot",
+    """SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY ts
+                RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS s FROM events""",
+)
+def q_range_hot(spark, sf):
+    events = table(spark, sf, "events").select("event_id", "event_type", "ts")
+    rows = _piece_rows(events)
+    out = ordering.trailing_count(events, "event_type", "ts", "INTERVAL 1 DAY", "s", rows)
+    return out.select("event_id", "s")
+
+
+@frame(
+    "q_asof_hot",
+    """SELECT p.event_id, v.last_view
+       FROM (SELECT event_id, user_id % 2 AS k, ts FROM events WHERE event_type = 'purchase') p
+       ASOF LEFT JOIN
+            (SELECT user_id % 2 AS k, ts, max(event_id) AS last_view FROM events
+             WHERE event_type = 'view' GROUP BY 1, 2) v
+         ON p.k = v.k AND p.ts >= v.ts""",
+)
+def q_asof_hot(spark, sf):
+    events = table(spark, sf, "events").selectExpr("event_id", "user_id % 2 AS k", "event_type", "ts")
+    bought = events.where("event_type = 'purchase'").drop("event_type")
+    viewed = events.where("event_type = 'view'").drop("event_type")
+    rows = _piece_rows(events)
+    found = ordering.asof_join(
+        bought, viewed, "k", "ts", "event_id", "last_view", rows_per_task=rows
+    )
+    return found.select("event_id", "last_view")
+
+
 # A rank limit is pushed below the shuffle: map tasks keep two rows per customer.
 pair(
     "q_qualify",
