@@ -8,9 +8,10 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.hot import ROWS_PER_TASK
 from millrace.session import store
 
-PIECES = 200
+MAX_PIECES = 1_000
 
 
 def join_unique(
@@ -51,7 +52,12 @@ def foreign_key_join(
 
 
 def interval_count(
-    points: DataFrame, intervals: DataFrame, value: str, low: str, high: str
+    points: DataFrame,
+    intervals: DataFrame,
+    value: str,
+    low: str,
+    high: str,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Number of ``points`` with ``low <= value < high`` for every interval row.
 
@@ -67,7 +73,7 @@ def interval_count(
         for df, c, weight in ((points, value, 1), (intervals, low, 0), (intervals, high, 0))
     ]
     steps = reduce(DataFrame.unionByName, weighed).groupBy("__at").agg(F.sum("__n").alias("__n"))
-    below = _counts_below(store(steps, "interval-steps"))
+    below = _counts_below(store(steps, "interval-steps"), rows_per_task)
     lows = below.select(F.col("__at").alias("__low_at"), F.col("__below").alias("__low"))
     highs = below.select(F.col("__at").alias("__high_at"), F.col("__below").alias("__high"))
     found = intervals.join(lows, F.col(low) == F.col("__low_at"), "left")
@@ -76,14 +82,16 @@ def interval_count(
     return found.select(*intervals.columns, within.alias("n"))
 
 
-def _counts_below(steps: DataFrame) -> DataFrame:
+def _counts_below(steps: DataFrame, rows_per_task: int) -> DataFrame:
     """``__below`` for each distinct ``__at``: the sum of ``__n`` over all smaller ones.
 
-    The values are cut into ``PIECES`` runs of about equal length, each summed by itself; the
-    table of the pieces' totals has a row per piece and is broadcast.
+    The values are cut into runs of about ``rows_per_task``, at most ``MAX_PIECES``, each summed
+    by itself; the table of the pieces' totals has a row per piece and is broadcast. ``steps`` is
+    a stored table, so counting it reads no column.
     """
-    shares = [i / PIECES for i in range(1, PIECES)]
-    cuts = steps.agg(F.percentile_approx("__at", shares, 10_000)).first()[0] or []
+    pieces = min(MAX_PIECES, 1 + steps.count() // rows_per_task)
+    shares = [i / pieces for i in range(1, pieces)]
+    cuts = steps.agg(F.percentile_approx("__at", shares, 10_000)).first()[0] if shares else []
     at = F.col("__at")
     points = F.array(*[F.lit(c) for c in dict.fromkeys(cuts)])
     piece = F.size(F.filter(points, lambda c: c < at)) if cuts else F.lit(0)

@@ -143,13 +143,14 @@ def test_foreign_key_join(spark, rows, keep, how):
     same(plain, joins.foreign_key_join(rows, dim, "user", "k", keep))
 
 
-def test_interval_count(spark, rows):
+@pytest.mark.parametrize("size", [SMALL, 10**6])
+def test_interval_count(spark, rows, size):
     bands = spark.createDataFrame(
         [(1, 0.1, 0.5), (2, 0.45, 0.9), (3, 2.0, 3.0), (4, 0.5, 0.5), (5, -1.0, 9.0), (6, 0.1, 0.5), (7, None, 0.5)],
         "band int, lo double, hi double",
     )
     xs = rows.toPandas()["x"]
-    got = {r["band"]: r["n"] for r in joins.interval_count(rows, bands, "x", "lo", "hi").collect()}
+    got = {r["band"]: r["n"] for r in joins.interval_count(rows, bands, "x", "lo", "hi", size).collect()}
     want = {b: int(((xs >= lo) & (xs < hi)).sum()) for b, lo, hi in
             [(1, 0.1, 0.5), (2, 0.45, 0.9), (3, 2.0, 3.0), (4, 0.5, 0.5), (5, -1.0, 9.0), (6, 0.1, 0.5)]} | {7: 0}
     assert got == want
