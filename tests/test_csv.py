@@ -16,9 +16,7 @@ def put(tmp_path, name, data):
 
 
 SAMPLE = "id,name,value\n1,Alice,10.5\n2,Bob,20.0\n3,Carol,30.75\n4,Dave,40.0\n5,Eve,50.25\n"
-OFFICE = (
-    "Created by: user x\nCreated Time: 2026-03-13 17:03:20\nid,name,value\n1,Alice,10.5\n2,Bob,20.0"
-)
+NOTED = "river gauges -- lower course\nsheet 7 of 9\ngauge,town,level\n31,Ulm,2.5\n47,Linz,8.0"
 
 
 def test_sample(spark, tmp_path):
@@ -37,20 +35,20 @@ def test_late_mixed_id_stays_text(spark, tmp_path):
 
 
 def test_preamble_is_skipped(spark, tmp_path):
-    path = put(tmp_path, "office365.csv", OFFICE)
+    path = put(tmp_path, "noted.csv", NOTED)
     prof = C.profile_csv(spark, path).first()
     assert (prof["skip_rows"], prof["n_cols"], prof["sep"]) == (2, 3, ",")
     df = C.read_csv(spark, path)
-    assert [tuple(r) for r in df.orderBy("id").collect()] == [(1, "Alice", 10.5), (2, "Bob", 20.0)]
+    assert [tuple(r) for r in df.orderBy("gauge").collect()] == [(31, "Ulm", 2.5), (47, "Linz", 8.0)]
 
 
 def test_raw_preview(spark, tmp_path):
-    path = put(tmp_path, "office365.csv", OFFICE)
+    path = put(tmp_path, "noted.csv", NOTED)
     rows = C.preview_csv_text(spark, path, 3).orderBy("pos").collect()
     assert [r["cells"] for r in rows] == [
-        ["Created by: user x"],
-        ["Created Time: 2026-03-13 17:03:20"],
-        ["id", "name", "value"],
+        ["river gauges -- lower course"],
+        ["sheet 7 of 9"],
+        ["gauge", "town", "level"],
     ]
     assert all(r["truncated"] for r in rows)
     rows = C.preview_csv_text(spark, path, 5).collect()
@@ -59,16 +57,12 @@ def test_raw_preview(spark, tmp_path):
         C.preview_csv_text(spark, path, 101)
 
 
-def test_excel_style_file(spark, tmp_path):
-    text = (
-        "﻿Quota report,,,\r\nNotes: draft,,,\r\n,,,\r\n,,,\r\n"
-        "Employee ID,Agent Name,User,Quota\r\n"
-        '1,Ann,ann,"   1,120   "\r\n2,Bea,bea,"   2,300   "\r\n3,Cid,cid," 10 "\r\n'
-        ',,,\r\nTotal,,,"   3,430   "\r\n'
-    )
+def test_padded_cells_and_empty_rows(spark, tmp_path):
+    text = 'gauge;town;level\r\n31;Ulm;" 2.5 "\r\n;;\r\n47;Linz;"8"\r\n'
     rows = C.preview_csv_text(spark, put(tmp_path, "x.csv", text)).orderBy("pos").collect()
-    assert len(rows) == 10 and {len(r["cells"]) for r in rows} == {4}
-    assert rows[0]["cells"][0] == "Quota report" and rows[5]["cells"][3] == "   1,120   "
+    assert [r["cells"] for r in rows] == [
+        ["gauge", "town", "level"], ["31", "Ulm", " 2.5 "], ["", "", ""], ["47", "Linz", "8"]
+    ]
 
 
 def test_cp1252(spark, tmp_path):

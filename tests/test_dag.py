@@ -4,7 +4,7 @@ from millrace import tables
 from millrace.plans import dag
 from millrace.session import release
 from millrace.sources import preprocess
-from tests.test_csv import OFFICE, SAMPLE, put
+from tests.test_csv import NOTED, SAMPLE, put
 
 
 def node(id_, type_, table=None, **config):
@@ -80,7 +80,7 @@ def test_run_reuse_and_change(spark, chain, tmp_path):
 
 
 def test_faults_do_not_stop_the_run(spark, chain, tmp_path):
-    path = put(tmp_path, "office.csv", OFFICE)
+    path = put(tmp_path, "noted.csv", NOTED)
     on = {"enabled": True, "runtime": "bash", "script": 'tail -n +3 "$1"'}
     bad = node("bad", "transform", sql="SELECT nope FROM src")
     below = node("below", "transform", sql="SELECT 1 AS x")
