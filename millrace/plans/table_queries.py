@@ -97,12 +97,12 @@ def csv_mixed_read(spark, sf):
 @checked(
     "csv_mixed_id",
     """SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, p_name, p_retailprice FROM part
-       UNION ALL SELECT '1C251002482142vKqu', max(p_name), max(p_retailprice) FROM part""",
+       UNION ALL SELECT 'K-17-b', max(p_name), max(p_retailprice) FROM part""",
 )
 def csv_mixed_id(spark, sf):
     part = table(spark, sf, "part").select("p_partkey", "p_name", "p_retailprice")
     odd = part.agg(F.max("p_name").alias("p_name"), F.max("p_retailprice").alias("p_retailprice"))
-    odd = odd.withColumn("p_partkey", F.lit("1C251002482142vKqu"))
+    odd = odd.withColumn("p_partkey", F.lit("K-17-b"))
     keyed = part.withColumn("p_partkey", F.col("p_partkey").cast("string"))
     path = export_csv(keyed.unionByName(odd), workspace(spark, "part"))
     return csv_source.read_csv(spark, path)
@@ -110,7 +110,7 @@ def csv_mixed_id(spark, sf):
 
 def _noted_files(spark, df: DataFrame) -> str:
     """CSV files with two lines of notes ahead of the header."""
-    head = ["Created by: user x", "Created Time: 2026-03-13 17:03:20", ",".join(df.columns)]
+    head = ["orders as exported", "second sheet of two", ",".join(df.columns)]
 
     def with_notes(batches):
         yield pd.DataFrame({"value": head})
