@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import no_nulls, quoted, slices
-from millrace.llm.training import held_out, labelled
+from millrace.llm.training import class_counts, held_out, labelled
 
 FOLDS, FOLD = 4, 2
 THRESHOLD = 0.7
@@ -109,10 +109,12 @@ class Model:
         return 1 / (1 + np.exp(-odds))
 
 
-def fit_moments(moments: dict[int, np.ndarray]) -> Model:
+def fit_moments(moments: dict[int, np.ndarray], counts: dict[int, int]) -> Model:
+    """The model of the sampled rows' ``moments``; how frequent each class is, is told by ``counts`` of all rows."""
     n = np.array([moments[y][0] for y in (0, 1)])
+    every = np.array([counts[y] for y in (0, 1)], float)
     if min(n) < 2:
-        return Model(constant=float((n[1] + 1) / (n.sum() + 2)))
+        return Model(constant=float((every[1] + 1) / (every.sum() + 2)))
     means = np.array([moments[y][1 : 1 + SIZE] / n[y] for y in (0, 1)])
     covs = [
         moments[y][1 + SIZE :].reshape(SIZE, SIZE) / n[y] - np.outer(means[y], means[y]) for y in (0, 1)
@@ -121,7 +123,7 @@ def fit_moments(moments: dict[int, np.ndarray]) -> Model:
     centre, scale = means[1], np.sqrt(np.maximum(np.diag(covs[1]), 1e-4))
     means = (means - centre) / scale
     covs = [c / np.outer(scale, scale) for c in covs]
-    pooled = (covs[0] * n[0] + covs[1] * n[1]) / n.sum()
+    pooled = (covs[0] * every[0] + covs[1] * every[1]) / every.sum()
     factors = []
     for y, c in enumerate(covs):
         few = SIZE / (SIZE + n[y])  # small classes lean more on the pooled covariance
@@ -129,7 +131,7 @@ def fit_moments(moments: dict[int, np.ndarray]) -> Model:
         c = (1 - DIAGONAL) * c + DIAGONAL * np.diag(np.diag(c)) + 0.05 * np.eye(SIZE)
         factors.append(np.linalg.cholesky(c))
     log_dets = [float(np.log(np.diag(f)).sum()) for f in factors]
-    return Model(None, centre, scale, means, factors, log_dets, float(np.log(n[1] / n[0])))
+    return Model(None, centre, scale, means, factors, log_dets, float(np.log(every[1] / every[0])))
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
@@ -139,7 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     moments = {y: np.zeros(1 + SIZE + SIZE * SIZE) for y in (0, 1)}
     for r in sums.collect():  # two classes' sums
         moments[r["y"]][r["i"]] = r["v"]
-    return fit_moments(moments)
+    return fit_moments(moments, class_counts(docs, labels, "quality", FOLDS, FOLD))
 
 
 def _score_texts(model: Model, texts: list[str]) -> np.ndarray:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import no_nulls, slices
-from millrace.llm.training import held_out, labelled
+from millrace.llm.training import class_counts, held_out, labelled
 from millrace.session import store
 
 FOLDS, FOLD = 3, 1
@@ -117,24 +117,27 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
 
 
-def fit_label_model(votes: np.ndarray, start: np.ndarray, rounds: int = ROUNDS) -> LabelModel:
-    """EM over the votes from first guesses ``start`` of the labels."""
+def fit_label_model(
+    votes: np.ndarray, start: np.ndarray, rounds: int = ROUNDS, stands_for: np.ndarray | None = None
+) -> LabelModel:
+    """EM over the votes from first guesses ``start`` of the labels; each row is as ``stands_for`` rows (1)."""
     votes, p = votes.astype(float), start.astype(float)
-    fired = votes.sum(axis=0)
+    of = np.ones(len(votes)) if stands_for is None else stands_for
+    fired = of @ votes
     silent = votes.sum(axis=1) == 0
     model = None
     for _ in range(rounds):
-        accuracies = ((p @ votes + 1.0) / (fired + 2.0)).clip(0.02, 0.98)
+        accuracies = (((p * of) @ votes + 1.0) / (fired + 2.0)).clip(0.02, 0.98)
         # Correlations given the class: what two voters share beyond their rates, by posterior weight.
         together = np.zeros((votes.shape[1],) * 2)
-        for w in (1 - p, p):
+        for w in ((1 - p) * of, p * of):
             rest = votes - (w @ votes) / max(w.sum(), 1e-9)
             cov = (rest * w[:, None]).T @ rest / max(w.sum(), 1e-9)
             sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-            together += np.clip(cov / np.outer(sd, sd), 0, 1) * w.mean()
+            together += np.clip(cov / np.outer(sd, sd), 0, 1) * (w.sum() / of.sum())
         np.fill_diagonal(together, 0)
         weights = 1 / (1 + np.where(together > 0.1, together, 0).sum(axis=1))
-        quiet = float(np.clip(p[silent].mean() if silent.any() else 0.01, 0.001, 0.05))
+        quiet = float(np.clip(np.average(p[silent], weights=of[silent]) if silent.any() else 0.01, 0.001, 0.05))
         model = LabelModel(accuracies, weights, quiet)
         new = model.posterior(votes)
         if np.abs(new - p).max() < 1e-4:
@@ -143,16 +146,20 @@ def fit_label_model(votes: np.ndarray, start: np.ndarray, rounds: int = ROUNDS)
     return model
 
 
-def fit_linear(x: np.ndarray, p: np.ndarray, ridge: float = 0.1, steps: int = 25) -> np.ndarray:
-    """Weights (the last is the constant) of a logistic model of the posteriors, by Newton's method."""
+def fit_linear(
+    x: np.ndarray, p: np.ndarray, ridge: float = 0.1, steps: int = 25, stands_for: np.ndarray | None = None
+) -> np.ndarray:
+    """Weights (the last is the constant) of a logistic model of the posteriors, by Newton's method; each row
+    is as ``stands_for`` rows (1)."""
+    of = np.ones(len(x)) if stands_for is None else stands_for
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
     penalty = np.full(x.shape[1], ridge)
     penalty[-1] = 1e-3
     for _ in range(steps):
         q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (q - p) + penalty * w
-        curve = (x * np.maximum(q * (1 - q), 1e-6)[:, None]).T @ x + np.diag(penalty)
+        slope = x.T @ (of * (q - p)) + penalty * w
+        curve = (x * (of * np.maximum(q * (1 - q), 1e-6))[:, None]).T @ x + np.diag(penalty)
         step = np.linalg.solve(curve, slope)
         w -= step
         if np.abs(step).max() < 1e-6:
@@ -190,8 +197,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: dict[int, int] = FIT_ROWS) ->
     known = store(labelled(docs, labels, "toxic", FOLDS, FOLD, rows), "labelled")
     n = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n_clean, n_toxic = n.get(0, 0), n.get(1, 0)
+    every = class_counts(docs, labels, "toxic", FOLDS, FOLD)
+    share_of_all = (every[1] + 1) / (every[0] + every[1] + 2) if every[0] + every[1] else 0.0
     if not n_clean or not n_toxic:
-        return Model(constant=(n_toxic + 1) / (n_clean + n_toxic + 2) if n_clean + n_toxic else 0.0)
+        return Model(constant=share_of_all)
     counted = (
         known.mapInArrow(_count_patterns, "pattern string, clean long, toxic long")
         .groupBy("pattern")
@@ -206,7 +215,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: dict[int, int] = FIT_ROWS) ->
         .collect()
     )
     if not best:
-        return Model(constant=(n_toxic + 1) / (n_clean + n_toxic + 2))
+        return Model(constant=share_of_all)
     chosen = [r["pattern"] for r in best]
     rows_ = known.mapInArrow(partial(_vote_rows, chosen), "y int, votes binary, words long").collect()
     y = np.array([r["y"] for r in rows_])
@@ -216,13 +225,15 @@ def fit(docs: DataFrame, labels: DataFrame, rows: dict[int, int] = FIT_ROWS) ->
     ).astype(bool)
     own = choose_voters(votes, y)
     if not own:
-        return Model(constant=(n_toxic + 1) / (n_clean + n_toxic + 2))
+        return Model(constant=share_of_all)
     votes = votes[:, own].astype(float)
     # First guess: how strongly the fired voters point at the class by their rates among labelled rows.
     lift = np.log((votes[y == 1].mean(axis=0) + 0.01) / (votes[y == 0].mean(axis=0) + 0.01))
     start = 1 / (1 + np.exp(-(votes @ lift - 2.0)))
-    model = fit_label_model(votes, start)
-    weights = fit_linear(features(votes, words), model.posterior(votes))
+    # The sample has at most so many rows of each class: each stands for its share of all the class's rows.
+    stands_for = np.where(y == 1, every[1] / n_toxic, every[0] / n_clean)
+    model = fit_label_model(votes, start, stands_for=stands_for)
+    weights = fit_linear(features(votes, words), model.posterior(votes), stands_for=stands_for)
     return Model(None, [chosen[i] for i in own], weights)
 
 
