@@ -14,7 +14,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import partial
+from functools import lru_cache, partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,7 +37,25 @@ _BOILERPLATE = re.compile(
     r"(?:$|[-_\s])",
     re.I,
 )
+# Names of blocks that are never the article, whatever they hold: comments, navigation, related pages, asides.
+_REAL = re.compile(
+    r"(?:^|[-_])(?:nav|navbar|navigation|menu|breadcrumbs?|comments?|commentlist|replies|disqus|respond|related|recommended)"
+    r"(?:$|[-_])|^(?:sidebar|aside|complementary)$",
+    re.I,
+)
+# Names that say what is beside or around: "has-sidebar", "comments-open", "content-sidebar-wrap".
+_QUALIFIER = re.compile(
+    r"^(?:has|with|without|no)[-_]|[-_](?:open|opened|closed|enabled|disabled|fixed|visible|hidden|active|expanded|"
+    r"collapsed|allowed|on|off)$|(?:^|[-_])(?:content|article|entry)[-_].*(?:wrap|wrapper|container|inner|layout)$",
+    re.I,
+)
+_AROUND = re.compile(r"[-_](?:wrap|wrapper|container|inner|layout)$", re.I)
+_COMMENT = re.compile(r"\bcomment", re.I)
 _CONTAINERS = frozenset("nav header footer aside form menu dialog button select fieldset".split())
+#: Containers a whole page may stand in.
+_WRAPPERS = frozenset(("form", "fieldset"))
+#: Share of the page's words with which a container is the page, whatever its name.
+MOST = 0.75
 _SKIPPED = frozenset(
     "script style noscript template iframe object svg math canvas audio video textarea select title head".split()
 )
@@ -52,20 +70,49 @@ _CLOSED_BY_BLOCK = frozenset(("p",))
 _SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 
 
+@lru_cache(maxsize=10_000)
+def _named(names: str) -> tuple[bool, bool, bool]:
+    """What class, id and role say: boilerplate for sure, perhaps boilerplate, a comment."""
+    own = [n for n in names.split() if not _QUALIFIER.search(n)]
+    real = any(_REAL.search(n) and not _AROUND.search(n) for n in own)
+    return real, any(_BOILERPLATE.search(n) for n in own), any(_COMMENT.search(n) for n in own)
+
+
+def _settled(out: list[tuple], parents: list[int]) -> list[tuple[str, bool, bool, str, str]]:
+    """Items with their container's number replaced by whether they are boilerplate.
+
+    A container known by its name alone, or a form, is none if it holds most of the words (on pages with a
+    mark, of those inside it)."""
+    held, total = [0] * len(parents), 0
+    mark = any(x[2] for x in out)
+    for _, sure, inside, _, data, container in out:
+        if data and not sure and (inside or not mark):
+            n = len(data.split())
+            total += n
+            held[container] += n
+    for k in range(len(parents) - 1, 0, -1):
+        held[parents[k]] += held[k]
+    bad = [False] * len(parents)
+    for k in range(1, len(parents)):
+        bad[k] = bad[parents[k]] or held[k] <= MOST * total
+    return [(key, sure or bad[k], inside, block, data) for key, sure, inside, block, data, k in out]
+
+
 def items(page: str) -> list[tuple[str, bool, bool, str, str]]:
     """The page as ``(key, boilerplate, inside, block or "", text)``: tags have no text and a key "<name".
 
     ``key`` of a text run names its block element and whether it is a link; ``inside`` tells whether an
     <article> or <main> is open. Scripts, styles and the like are gone, comments too.
     """
-    out: list[tuple[str, bool, bool, str, str]] = []
-    stack: list[tuple[str, bool, bool, str, bool]] = [("body", False, False, "body", False)]
+    out: list[tuple[str, bool, bool, str, str, int]] = []
+    stack: list[tuple[str, bool, bool, str, bool, int]] = [("body", False, False, "body", False, 0)]
+    parents = [0]  # of containers that may be boilerplate, by number; 0 is none
     at, block = 0, 0
 
     def text(data: str) -> None:
         if data:
-            _, bad, inside, element, link = stack[-1]
-            out.append((element + ("+a" if link else ""), bad, inside, str(block), data))
+            _, sure, inside, element, link, container = stack[-1]
+            out.append((element + ("+a" if link else ""), sure, inside, str(block), data, container))
 
     end = len(page)
     while at < end:
@@ -85,7 +132,7 @@ def items(page: str) -> list[tuple[str, bool, bool, str, str]]:
         top = stack[-1]
         if name not in _INLINE:
             block += 1
-        out.append(("<" + name, top[1], top[2], "", ""))
+        out.append(("<" + name, top[1], top[2], "", "", top[5]))
         if closing:
             if any(s[0] == name for s in stack[1:]):
                 while stack[-1][0] != name:
@@ -102,19 +149,22 @@ def items(page: str) -> list[tuple[str, bool, bool, str, str]]:
             if stack[k][0] not in _INLINE:
                 break
         top = stack[-1]
-        bad, inside = top[1], top[2]
+        sure, inside, container = top[1], top[2], top[5]
         named = " ".join(a or b or c for a, b, c in _NAMES.findall(attributes)) if "=" in attributes else ""
+        real, perhaps, comment = _named(named) if named else (False, False, False)
         if name in ("article", "main"):
-            # A page within a form is still a page; a comment written as an article is none.
-            in_form = bad and all(s[0] == "form" or not s[1] for s in stack)
-            bad = (bad and not in_form) or bool(named and re.search(r"\bcomment", named, re.I))
-            inside = inside or not bad
+            # A page within a form or an oddly named wrapper is still a page; a comment written as an article is none.
+            sure = sure or comment
+            inside, container = inside or not sure, 0
         elif name not in ("html", "body"):
             own = name in _CONTAINERS and not (name == "header" and inside)
-            bad = bad or own or name in _SKIPPED or bool(named and _BOILERPLATE.search(named))
+            sure = sure or real or name in _SKIPPED or (own and name not in _WRAPPERS)
+            if not sure and (perhaps or own):
+                parents.append(container)
+                container = len(parents) - 1
         element = top[3] if name in _INLINE else name
-        stack.append((name, bad, inside, element, top[4] or name == "a"))
-    return out
+        stack.append((name, sure, inside, element, top[4] or name == "a", container))
+    return _settled(out, parents)
 
 
 def prior(key: str, bad: bool) -> float:

@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pytest
 
-from millrace.llm import quality_model, toxicity
+from millrace.llm import html_extract, quality_model, toxicity
 from millrace.llm.common import table
 
 
@@ -48,3 +48,37 @@ def test_toxicity_of_a_capped_sample(spark, monkeypatch):
     assert every[0] > 5 * every[1] > 500
     assert used["share"].sum() == pytest.approx(every[0] + every[1])
     assert sorted(set(used["share"])) == pytest.approx([every[1] / 100, every[0] / 100])
+
+
+# --- HTML: names that only look like boilerplate -------------------------------------
+
+BODY = " ".join(f"word{i}" for i in range(60))
+
+
+@pytest.mark.parametrize(
+    "before, after",
+    [
+        ("<div class='content-sidebar-wrap'>", "</div>"),
+        ("<div class='page has-sidebar'>", "</div>"),
+        ("<div class='page comments-open' id=no-nav>", "</div>"),
+        ("<form action='./'><div>", "</div></form>"),
+        ("<form action='./'><div><article>", "</article></div></form>"),
+        ("<div class='widget'><main>", "</main></div>"),
+        ("<div class='site-header-page'><div class='share'>Share this</div>", "</div>"),
+        ("<article class='post has-comments'>", "</article>"),
+    ],
+)
+def test_extract_in_wrappers(before, after):
+    page = (
+        f"<html><body><nav><a>Home</a></nav>{before}<h1>Title</h1><p>{BODY}</p><div class=ad><p>Buy now</p></div><p>End of it after some more words that close the text</p>{after}"
+        "<div class='sidebar'><p>More of this</p></div><div id='comments'><article><p>One says much of it</p></article></div></body></html>"
+    )
+    for w in (html_extract.Weights({}, {}), html_extract.Weights(*html_extract.learn([html_extract.items(page)]))):
+        assert html_extract.extract(page, w) == f"Title {BODY} End of it after some more words that close the text"
+
+
+def test_extract_leaves_real_blocks():
+    talk = "<p>" + "a reader says something " * 60 + "</p>"
+    for block in (f"<div class='comment-list'><article>{talk}</article></div>", f"<aside><article>{talk}</article></aside>", f"<div class=sidebar>{talk}</div>"):
+        page = f"<body><div class=text><p>{BODY}</p></div>{block}</body>"
+        assert html_extract.extract(page, html_extract.Weights({}, {})) == BODY
