@@ -28,13 +28,13 @@ from millrace.llm.token_memo import (
     parts_of,
     tokenizer,
 )
+from millrace.llm.token_prefixes import Vocabulary, counts
 
 VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2048
-#: Inside parts of more code points than this (no space or sign for so long) the counts are not kept, as each
-#: prefix would have to be encoded; the count at their end is, and so all counts after it.
+#: Parts of more code points than this (no space or sign for so long) are not encoded prefix by prefix nor
+#: remembered: their counts are built up token by token.
 LONGEST_STRETCH = 128
-_NOT_KEPT = np.iinfo(np.int32).min
 _memos: dict[str, Memo] = {}
 
 
@@ -46,21 +46,22 @@ def _memo(path: str) -> Memo:
     merge = tok.model.tokenize
     parts: dict[str, bytes] = {}
     words: dict[str, int] = {}
+    vocabulary: list[Vocabulary] = []  # read when a long part is met
 
     def steps_of_word(word: str) -> bytes:
-        word, counts = word.lower(), [0]
+        word, ends = word.lower(), [0]
         for i in range(1, len(word) + 1):
             prefix = word[:i]
             if prefix not in words:
                 words[prefix] = len(merge(in_byte_letters(prefix)))
-            counts.append(words[prefix])
-        return np.diff(np.array(counts, "<i4")).tobytes()
+            ends.append(words[prefix])
+        return np.diff(np.array(ends, "<i4")).tobytes()
 
     def steps_of(part: str) -> bytes:
         if len(part) > LONGEST_STRETCH:
-            steps = np.full(len(part), _NOT_KEPT, "<i4")
-            steps[-1] = len(tok.encode(part, add_special_tokens=False).ids)
-            return steps.tobytes()
+            if not vocabulary:
+                vocabulary.append(Vocabulary(path))
+            return np.diff(np.array([0, *counts(vocabulary[0], part)], "<i4")).tobytes()
         core = part.lstrip(" ")
         if is_word(core):
             return bytes(4 * (len(part) - len(core))) + steps_of_word(core)
@@ -92,8 +93,7 @@ def prefix_counts(docs: DataFrame, path: str | None = None, keep_steps: bool = T
     """``doc_id, n_bytes, n_tokens`` of every row of ``docs(doc_id, text)`` and, if kept, ``steps``.
 
     ``steps`` has a number per code point: by how much the count of the prefix ending there exceeds that of
-    the one before. It is null inside parts longer than ``LONGEST_STRETCH``, whose whole step stands at
-    their last code point. Null texts are empty: 0 bytes, 0 tokens, no steps. Strings of special tokens
+    the one before. Null texts are empty: 0 bytes, 0 tokens, no steps. Strings of special tokens
     inside a text count as the library's default says. Repeated rows are counted each; no row is dropped.
     """
     path = path or public_tokenizers.path(VOCABULARY)
@@ -103,7 +103,7 @@ def prefix_counts(docs: DataFrame, path: str | None = None, keep_steps: bool = T
         for batch in slices(batches, 1000):
             texts = no_nulls(batch.column(1))
             steps, ends = memo.of(texts)
-            upto = np.concatenate([[0], np.cumsum(np.where(steps == _NOT_KEPT, 0, steps), dtype=np.int64)])
+            upto = np.concatenate([[0], np.cumsum(steps, dtype=np.int64)])
             starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
             columns = [
                 batch.column(0),
@@ -113,7 +113,7 @@ def prefix_counts(docs: DataFrame, path: str | None = None, keep_steps: bool = T
             names = ["doc_id", "n_bytes", "n_tokens"]
             if keep_steps:
                 offsets = np.concatenate([[0], ends]).astype(np.int32)
-                values = pa.array(steps, pa.int32(), mask=steps == _NOT_KEPT)
+                values = pa.array(steps, pa.int32())
                 columns.append(pa.ListArray.from_arrays(pa.array(offsets), values))
                 names.append("steps")
             yield pa.RecordBatch.from_arrays(columns, names)
@@ -126,23 +126,19 @@ def prefix_counts(docs: DataFrame, path: str | None = None, keep_steps: bool = T
 
 
 def count_at(steps: Column, length: Column | int) -> Column:
-    """Tokens of the prefix of ``length`` code points; null where the step there was not kept."""
+    """Tokens of the prefix of ``length`` code points; null if the text has fewer."""
     length = length if isinstance(length, Column) else F.lit(length)
-    total = F.aggregate(
-        F.slice(steps, 1, length), F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x, F.lit(0))
-    )
-    known = (length == 0) | F.get(steps, length - 1).isNotNull()
-    return F.when(known, total)
+    total = F.aggregate(F.slice(steps, 1, length), F.lit(0).cast("long"), lambda a, x: a + x)
+    return F.when(length <= F.size(steps), total)
 
 
 def longest_prefix(steps: Column, budget: int) -> Column:
-    """Code points of the longest prefix of at most ``budget`` tokens, among those with a kept count."""
+    """Code points of the longest prefix of at most ``budget`` tokens."""
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("i"), F.lit(0).alias("best"))
 
     def step(a: Column, x: Column) -> Column:
-        n, i = a["n"] + F.coalesce(x, F.lit(0)), a["i"] + 1
-        fits = x.isNotNull() & (n <= budget)
-        return F.struct(n.alias("n"), i.alias("i"), F.when(fits, i).otherwise(a["best"]).alias("best"))
+        n, i = a["n"] + x, a["i"] + 1
+        return F.struct(n.alias("n"), i.alias("i"), F.when(n <= budget, i).otherwise(a["best"]).alias("best"))
 
     return F.aggregate(steps, start, step, lambda a: a["best"])
 

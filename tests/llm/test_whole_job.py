@@ -3,9 +3,12 @@
 import math
 
 import numpy as np
+import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from millrace.llm import html_extract, quality_model, toxicity
+from millrace.llm import html_extract, quality_model, token_counts, toxicity
 from millrace.llm.common import table
 
 
@@ -82,3 +85,31 @@ def test_extract_leaves_real_blocks():
     for block in (f"<div class='comment-list'><article>{talk}</article></div>", f"<aside><article>{talk}</article></aside>", f"<div class=sidebar>{talk}</div>"):
         page = f"<body><div class=text><p>{BODY}</p></div>{block}</body>"
         assert html_extract.extract(page, html_extract.Weights({}, {})) == BODY
+
+
+# --- tokens: parts without a space ---------------------------------------------------
+
+
+def test_counts_inside_long_parts(spark):
+    tok = Tokenizer.from_file(public_tokenizers.path(token_counts.VOCABULARY))
+    texts = [
+        "日本語の文章は空白なしで続く。" * 20,
+        "กินข้าวแล้วหรือยัง" * 15,
+        "one\tTwo's\u00a0three\u3000" * 12,
+        "thequickbrownfox" * 20,
+        "e\u0301a\u0323\u0302" * 40 + "\u1112\u1161\u11ab" * 20,
+        "ab<|endoftext|>日本'll" * 12,
+        "QUJDREVGR0hJSktMTU5PUFFSU1RVVldYWVo" * 6,
+        "!?'re''s" * 30,
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    counted = token_counts.prefix_counts(docs)
+    asked = counted.select("*", token_counts.count_at(F.col("steps"), 77).alias("at"), token_counts.longest_prefix(F.col("steps"), 20).alias("cut"))
+    rows = asked.collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        text = texts[r["doc_id"]]
+        want = [len(e.ids) for e in tok.encode_batch([text[: i + 1] for i in range(len(text))], add_special_tokens=False)]
+        assert np.cumsum(r["steps"]).tolist() == want
+        assert (r["n_tokens"], r["at"]) == (want[-1], want[76])
+        assert r["cut"] == max(i + 1 for i, n in enumerate(want) if n <= 20)
