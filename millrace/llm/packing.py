@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import bisect
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -31,9 +32,9 @@ from millrace.llm.token_memo import (
     PARTS,
     Memo,
     cut,
-    in_byte_letters,
     is_word,
     parts_of,
+    spell,
     tokenizer,
 )
 from millrace.session import store
@@ -56,14 +57,13 @@ def _memo(path: str) -> Memo:
             parts.clear()
         cut_up = [parts_of(s) for s in stretches]
         others = []
-        for part in set().union(*cut_up) - parts.keys():
+        for part in {p for c in cut_up for p in c if p not in parts}:
             if is_word(part.removeprefix(" ")):
-                ids = [t.id for t in merge(in_byte_letters(part))]
-                parts[part] = np.array(ids, "<u4").tobytes()
+                parts[part] = array("I", [t.id for t in merge(spell(part))]).tobytes()
             else:
                 others.append(part)
         for part, e in zip(others, tok.encode_batch_fast(others, add_special_tokens=False)):
-            parts[part] = np.array(e.ids, "<u4").tobytes()
+            parts[part] = array("I", e.ids).tobytes()
         out = [b"".join([parts[p] for p in c]) for c in cut_up]
         for part in others:
             if len(part) > LONGEST:

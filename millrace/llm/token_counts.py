@@ -9,6 +9,7 @@ exact count, which truncation and budget questions read instead of encoding agai
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,9 +24,9 @@ from millrace.llm.token_memo import (
     PARTS,
     Memo,
     cut_words,
-    in_byte_letters,
     is_word,
     parts_of,
+    spell,
     tokenizer,
 )
 from millrace.llm.token_prefixes import Vocabulary, counts
@@ -49,42 +50,40 @@ def _memo(path: str) -> Memo:
     vocabulary: list[Vocabulary] = []  # read when a long part is met
 
     def steps_of_word(word: str) -> bytes:
-        word, ends = word.lower(), [0]
-        for i in range(1, len(word) + 1):
-            prefix = word[:i]
-            if prefix not in words:
-                words[prefix] = len(merge(in_byte_letters(prefix)))
-            ends.append(words[prefix])
-        return np.diff(np.array(ends, "<i4")).tobytes()
+        # Spelled once; a prefix of the word is a prefix of its spelling, a letter per byte.
+        if (found := parts.get(word)) is not None:
+            return found
+        ascii, end, before, steps = word.isascii(), 0, 0, array("i")
+        spelled = word if ascii else spell(word)
+        for letter in word:
+            end += 1 if ascii else len(letter.encode())
+            prefix = spelled[:end]
+            if (n := words.get(prefix)) is None:
+                n = words[prefix] = len(merge(prefix))
+            steps.append(n - before)
+            before = n
+        return parts.setdefault(word, steps.tobytes())
 
     def steps_of(part: str) -> bytes:
+        if (found := parts.get(part)) is not None:
+            return found
         if len(part) > LONGEST_STRETCH:
             if not vocabulary:
                 vocabulary.append(Vocabulary(path))
             return np.diff(np.array([0, *counts(vocabulary[0], part)], "<i4")).tobytes()
-        core = part.lstrip(" ")
-        if is_word(core):
-            return bytes(4 * (len(part) - len(core))) + steps_of_word(core)
+        core = part.lstrip(" \n")
+        if is_word(core):  # white space leaves no token
+            return bytes(4 * (len(part) - len(core))) + steps_of_word(core.lower())
         ends = tok.encode_batch_fast(
             [part[:i] for i in range(1, len(part) + 1)], add_special_tokens=False
         )
-        return np.diff(np.array([0, *map(len, ends)], "<i4")).tobytes()
+        return parts.setdefault(part, np.diff(np.array([0, *map(len, ends)], "<i4")).tobytes())
 
     def encode(stretches: list[str]) -> list[bytes]:
         for known in (parts, words):
             if len(known) > PARTS:
                 known.clear()
-        out = []
-        for s in stretches:
-            steps = []
-            for part in parts_of(s):
-                if (found := parts.get(part)) is None:
-                    found = steps_of(part)
-                    if len(part) <= LONGEST_STRETCH:
-                        parts[part] = found
-                steps.append(found)
-            out.append(b"".join(steps))
-        return out
+        return [b"".join(map(steps_of, parts_of(s))) for s in stretches]
 
     return _memos.setdefault(path, Memo(cut_words, encode))
 

@@ -2,12 +2,13 @@
 
 The tokenizers here split a text before they merge, and never merge across certain places (see ``cut``
 and ``cut_words``). Texts are cut there; each stretch is encoded by the library the first time a worker
-meets it and remembered, in Arrow and numpy arrays. The memory is bounded: once it is full, stretches
+meets it and remembered, its numbers in numpy arrays. The memory is bounded: once it is full, stretches
 it lacks are encoded for the batch in hand and forgotten.
 """
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from collections.abc import Callable
@@ -16,8 +17,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Stretches a worker remembers; at about 40 bytes each this is some 50 MB.
-REMEMBERED = 1_200_000
+#: Stretches a worker remembers; at about 160 bytes each this is some 160 MB.
+REMEMBERED = 1_000_000
 #: Longer stretches are never remembered.
 LONGEST = 64
 #: Parts of stretches a worker remembers, as Python strings: some 60 MB.
@@ -58,13 +59,24 @@ def in_byte_letters(text: str) -> str:
     return text.encode().decode("latin-1").translate(BYTE_LETTERS)
 
 
+#: Letters of words, and a space, by code point: what they are spelled with.
+_SPELLED = {
+    c: in_byte_letters(chr(c)) for c in (32, *range(0x80, 0x100)) if c == 32 or re.match(f"[{_LATIN}]", chr(c))
+}
+
+
+def spell(word: str) -> str:
+    """``in_byte_letters`` for a word and the space before it."""
+    return word.translate(_SPELLED)
+
+
 def is_word(part: str) -> bool:
     return _WORD.fullmatch(part) is not None
 
 
 def parts_of(stretch: str) -> list[str]:
     """``stretch`` cut further, where every token ends; not where it may hold a special token."""
-    return [stretch] if "<|" in stretch else _SIGN.split(stretch)
+    return [stretch] if stretch[1:].isalpha() or "<|" in stretch else _SIGN.split(stretch)
 
 
 def _marked(texts: pa.Array, after_line_feed: str) -> pa.Array:
@@ -99,7 +111,10 @@ def cut_words(texts: pa.Array) -> pa.Array:
 
 
 class Memo:
-    """``encode``, from a list of stretches to 32-bit numbers for each (packed), remembered by stretch."""
+    """``encode``, from a list of stretches to 32-bit numbers for each (packed), remembered by stretch.
+
+    The table of stretches and the arrays of their numbers are kept between batches and only ever added to.
+    """
 
     def __init__(
         self,
@@ -108,38 +123,53 @@ class Memo:
         most: int = REMEMBERED,
     ):
         self.cut, self.encode, self.most = cut, encode, most
-        self.keys = pa.array([], pa.string())
-        self.flat, self.ends = np.zeros(0, "<i4"), np.zeros(1, np.int64)
+        self.slots: dict[str, int] = {}
+        self.flat, self.used = np.zeros(1 << 16, "<i4"), 0
+        self.starts, self.sizes = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
 
     def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The numbers of all ``texts`` (no nulls) in one array, and where each text's end."""
         lists = self.cut(texts.cast(pa.string()))
         coded = lists.flatten().dictionary_encode()
-        distinct, index = coded.dictionary, coded.indices.to_numpy()
-        at = pc.index_in(distinct, value_set=self.keys)
-        lacking = pc.is_null(at)
-        at = at.fill_null(0).to_numpy().astype(np.int64)
-        new = distinct.filter(lacking)
-        values = self.encode(new.to_pylist())
+        distinct, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        known = self.slots.get
+        at = np.fromiter((known(s, -1) for s in distinct), np.int64, len(distinct))
+        self._add(distinct, at)
+        each = self.sizes[at][index]
+        ends = np.concatenate([[0], np.cumsum(each, dtype=np.int64)])
+        place = np.arange(ends[-1], dtype=np.int32)
+        place += np.repeat((self.starts[at][index] - ends[:-1]).astype(np.int32), each)
+        return self.flat[place], ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()][1:]
+
+    def _add(self, distinct: list[str], at: np.ndarray) -> None:
+        """Gives those of ``distinct`` that lack a slot (-1 in ``at``) one, for good while there is room and they
+        are short, else until the next batch."""
+        lacking = np.flatnonzero(at < 0).tolist()
+        n, room = len(self.slots), self.most - len(self.slots)
+        short = [i for i in lacking if len(distinct[i]) <= LONGEST][: max(room, 0)]
+        kept = set(short)
+        lacking = short + [i for i in lacking if i not in kept]
+        gc.disable()  # a batch makes many short-lived lists and no cycles
+        try:
+            values = self.encode([distinct[i] for i in lacking])
+        finally:
+            gc.enable()
         sizes = np.array([len(v) // 4 for v in values], np.int64)
-        flat = np.concatenate([self.flat, np.frombuffer(b"".join(values), "<i4")])
-        mask = lacking.to_numpy(zero_copy_only=False)
-        start, size = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
-        start[~mask], size[~mask] = self.ends[at[~mask]], np.diff(self.ends)[at[~mask]]
-        start[mask], size[mask] = len(self.flat) + np.cumsum(sizes) - sizes, sizes
-        self._remember(new, values, sizes)
-        each = size[index]
-        ends = np.concatenate([[0], np.cumsum(each)])
-        shift = np.repeat(start[index] - ends[:-1], each)
-        return flat[shift + np.arange(len(shift))], ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()][1:]
-
-    def _remember(self, new: pa.Array, values: list[bytes], sizes: np.ndarray) -> None:
-        room = self.most - len(self.keys)
-        if room <= 0 or not values:
-            return
-        short = pc.less_equal(pc.utf8_length(new), LONGEST).to_numpy(zero_copy_only=False)
-        short &= np.cumsum(short) <= room
-        self.keys = pa.concat_arrays([self.keys, new.filter(pa.array(short))])
-        kept = b"".join([v for v, s in zip(values, short) if s])
-        self.flat = np.concatenate([self.flat, np.frombuffer(kept, "<i4")])
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes[short])])
+        total = int(sizes.sum())
+        self.flat = _room(self.flat, self.used, total)
+        self.starts, self.sizes = _room(self.starts, n, len(sizes)), _room(self.sizes, n, len(sizes))
+        self.flat[self.used : self.used + total] = np.frombuffer(b"".join(values), "<i4")
+        self.starts[n : n + len(sizes)] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[n : n + len(sizes)] = sizes
+        at[lacking] = np.arange(n, n + len(sizes))
+        self.slots.update(zip([distinct[i] for i in short], range(n, n + len(short))))
+        self.used += int(sizes[: len(short)].sum())
+
+
+def _room(kept: np.ndarray, used: int, more: int) -> np.ndarray:
+    """``kept`` with room for ``more`` behind its first ``used``; grown by half at least, so seldom copied."""
+    if used + more <= len(kept):
+        return kept
+    grown = np.zeros(max(used + more, len(kept) * 3 // 2), kept.dtype)
+    grown[:used] = kept[:used]
+    return grown
