@@ -334,7 +334,8 @@ def with_position(df: DataFrame, *wanted: str) -> tuple[DataFrame, list[str]]:
 
 def keep_one(docs: DataFrame, bits: int = BITS) -> DataFrame:
     """``docs`` with one row of each component: of the least id, and of those the first in the files.
-    Null ids come last. Columns stay as they are; ids may repeat."""
+    Null ids come last. Columns stay as they are; ids may repeat. The rows meet the kept positions in one
+    shuffle without a sort, at every size."""
     placed, (path, row) = with_position(docs, "row_file", "row_number")
     narrow = placed.select(quoted("doc_id").alias("doc_id"), quoted("text").alias("text"), quoted(path).alias("file"), quoted(row).alias("at"))
     rows = store(add_fingerprint(narrow, "text", "fp"), "fingerprints")
@@ -342,4 +343,4 @@ def keep_one(docs: DataFrame, bits: int = BITS) -> DataFrame:
     prints = store(rows.groupBy("fp").agg(F.min(order).alias("least")), "distinct-fingerprints")
     winners = store(components(prints, bits).select("component.file", "component.at").distinct(), "kept")
     winners = winners.select(F.col("file").alias(path), F.col("at").alias(row))
-    return placed.join(winners, [path, row], "left_semi").select(*[quoted(c) for c in docs.columns])
+    return placed.join(winners.hint("shuffle_hash"), [path, row], "left_semi").select(*[quoted(c) for c in docs.columns])
