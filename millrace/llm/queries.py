@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import (
+    conversation_trie,
     html_extract,
+    license_scan,
     mixing,
     packing,
     quality_model,
@@ -36,6 +38,8 @@ FRAMES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": _over(token_counts.counted, "documents"),
     "op9_quality_classifier": _over(quality_model.scored, "documents", "labels"),
     "op10_quality_rules": _over(quality_rules.ruled, "documents"),
+    "op12_license_scans": _over(license_scan.scanned, "documents"),
+    "op13_conversation_trie": _over(conversation_trie.nodes, "conversations"),
 }
 
 ORACLE: dict[str, str] = {
@@ -43,4 +47,5 @@ ORACLE: dict[str, str] = {
     "op4_exact_top_k": vector_search.ORACLE,
     "op5_warc": warc.ORACLE,
     "op10_quality_rules": quality_rules.ORACLE,
+    "op13_conversation_trie": conversation_trie.ORACLE,
 }
