@@ -54,3 +54,14 @@ def no_nulls(column: pa.Array) -> pa.Array:
 def texts_of(column: pa.Array) -> list[str]:
     """Python strings of a string column, null as the empty text."""
     return no_nulls(column).to_pylist()
+
+
+# 0-9, a-z and whatever is not ASCII stay, A-Z become a-z; any other byte parts words.
+_ALPHANUMERIC = bytes(
+    b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
+)
+
+
+def alphanumeric_words(text: bytes) -> list[bytes]:
+    """Words of a UTF-8 text: longest runs of letters, digits and anything beyond ASCII, A-Z lower-cased."""
+    return text.translate(_ALPHANUMERIC).split()

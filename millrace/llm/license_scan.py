@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import slices
+from millrace.llm.common import alphanumeric_words, slices
 
 #: Highest-IDF words of a template that are looked up, distinct ones that must agree, and how many words
 #: agreeing votes and key phrases may be apart (edited names and years shift what follows).
@@ -137,18 +137,8 @@ TEMPLATES = (
     ),
 )
 
-# Words are made of 0-9, a-z and whatever is not ASCII; any other byte parts them.
-_LOWER = bytes(
-    b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
-)
-
-
-def words_of(text: bytes) -> list[bytes]:
-    return text.translate(_LOWER).split()
-
-
 def _words(text: str) -> tuple[bytes, ...]:
-    return tuple(words_of(text.encode()))
+    return tuple(alphanumeric_words(text.encode()))
 
 
 class Index:
@@ -241,7 +231,7 @@ def build_index(
         seen, n = Counter(), 0
         for batch in slices(batches):
             for text in _texts(batch.column(0)):
-                seen.update(vocabulary.intersection(words_of(text)))
+                seen.update(vocabulary.intersection(alphanumeric_words(text)))
             n += batch.num_rows
         # The empty word counts the documents.
         rows = [(b"", n), *seen.items()]
@@ -266,7 +256,7 @@ def license_places(docs: DataFrame, index: Index) -> DataFrame:
         for batch in slices(batches):
             n, places = [], []
             for text in _texts(batch.column(1)):
-                words = words_of(text)
+                words = alphanumeric_words(text)
                 n.append(len(words))
                 places.append([dict(zip(place.names, p)) for p in index.places(words)])
             yield pa.RecordBatch.from_arrays(

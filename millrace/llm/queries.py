@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from millrace.llm import (
     conversation_trie,
     html_extract,
+    lexical_search,
     license_scan,
     mixing,
     packing,
@@ -38,6 +39,7 @@ FRAMES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": _over(token_counts.counted, "documents"),
     "op9_quality_classifier": _over(quality_model.scored, "documents", "labels"),
     "op10_quality_rules": _over(quality_rules.ruled, "documents"),
+    "op11_lexical_search": _over(lexical_search.searched, "documents", "benchmark"),
     "op12_license_scans": _over(license_scan.scanned, "documents"),
     "op13_conversation_trie": _over(conversation_trie.nodes, "conversations"),
 }
@@ -47,5 +49,6 @@ ORACLE: dict[str, str] = {
     "op4_exact_top_k": vector_search.ORACLE,
     "op5_warc": warc.ORACLE,
     "op10_quality_rules": quality_rules.ORACLE,
+    "op11_lexical_search": lexical_search.ORACLE,
     "op13_conversation_trie": conversation_trie.ORACLE,
 }
