@@ -8,7 +8,7 @@ import re
 from collections import Counter
 from itertools import islice
 
-from millrace.functions.infer import DATE_PATTERN, NUMBER_PATTERN, STAMP_PATTERN
+from millrace.functions.infer import DATE_PATTERN, NUMBER_PATTERN, STAMP_PATTERN, YEAR_LAST_PATTERN
 
 # Fixed values.
 SAMPLE_CHARS = 4096
@@ -16,7 +16,9 @@ SAMPLE_ROWS = 25
 DELIMITERS = (",", ";", "\t", "|")
 ENCODINGS = ("utf-8-sig", "utf-8", "cp1252", "iso-8859-1")
 
-_TYPED = re.compile("|".join((NUMBER_PATTERN, DATE_PATTERN, STAMP_PATTERN, "^(?i:true|false)$")))
+_TYPED = re.compile(
+    "|".join((YEAR_LAST_PATTERN, NUMBER_PATTERN, DATE_PATTERN, STAMP_PATTERN, "^(?i:true|false)$"))
+)
 
 
 def decode_head(raw: bytes) -> str:

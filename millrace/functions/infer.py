@@ -14,11 +14,17 @@ from millrace.names import quote
 
 BOOL, INT, HUGE, DOUBLE, DATE, STAMP, ZONED, TIME, TEXT = (1 << i for i in range(9))
 
+# Dates with the year last: per separator a class for those that only make sense with the day first, only
+# with the month first, and either way.
+SEPARATORS = ("/", "-", ".")
+DAY_FIRST, MONTH_FIRST, EITHER = ({s: 1 << (9 + 3 * i + k) for i, s in enumerate(SEPARATORS)} for k in range(3))
+
 INT_PATTERN = r"^[+-]?(0|[1-9]\d*)$"
 NUMBER_PATTERN = r"^[+-]?((0|[1-9]\d*)(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
 DATE_PATTERN = r"^\d{4}-\d{1,2}-\d{1,2}$"
 STAMP_PATTERN = r"^\d{4}-\d{1,2}-\d{1,2}[ T]\d{1,2}:\d{2}(:\d{2}(\.\d{1,9})?)?$"
 ZONED_PATTERN = STAMP_PATTERN[:-1] + r" ?(Z|[+-]\d{2}(:?\d{2})?)$"
+YEAR_LAST_PATTERN = r"^(\d{1,2})([/.-])(\d{1,2})\2(\d{4})$"
 TIME_PATTERN = r"^\d{1,2}:\d{2}(:\d{2}(\.\d{1,6})?)?$"
 
 BOOL_WORDS = ("true", "false", "t", "f")
@@ -34,7 +40,25 @@ COVERS = (
     (DATE | STAMP, "timestamp_ntz"),
     (DATE | STAMP | ZONED, "timestamp"),
     (TIME, "time"),
+    *((EITHER[s] | DAY_FIRST[s], "date day first") for s in SEPARATORS),
+    *((EITHER[s] | MONTH_FIRST[s], "date month first") for s in SEPARATORS),
 )
+# What a type is called here, and how its text is put into the order of ISO dates.
+ORDERS = {"date day first": "$4-$3-$1", "date month first": "$4-$1-$3"}
+
+
+def _year_last_class(v: Column) -> Column:
+    """Class bit of a date with the year last; null if it is no day of the calendar either way."""
+    day, month = (
+        F.regexp_replace(v, YEAR_LAST_PATTERN, ORDERS[k]).try_cast("date").isNotNull()
+        for k in ("date day first", "date month first")
+    )
+    bits = None
+    for s in SEPARATORS:
+        own = F.when(day & month, EITHER[s]).when(day, DAY_FIRST[s]).when(month, MONTH_FIRST[s])
+        here = F.contains(v, F.lit(s))
+        bits = F.when(here, own) if bits is None else bits.when(here, own)
+    return bits
 
 
 def value_class(c: Column) -> Column:
@@ -56,6 +80,7 @@ def value_class(c: Column) -> Column:
         .when(v.rlike(STAMP_PATTERN) & v.try_cast("timestamp_ntz").isNotNull(), STAMP)
         .when(v.rlike(ZONED_PATTERN) & v.try_cast("timestamp").isNotNull(), ZONED)
         .when(v.rlike(TIME_PATTERN) & v.try_cast("time").isNotNull(), TIME)
+        .when(v.rlike(YEAR_LAST_PATTERN), F.coalesce(_year_last_class(v), F.lit(TEXT)))
         .otherwise(TEXT)
     )
 
@@ -83,7 +108,10 @@ def infer_types(df: DataFrame) -> list[str]:
 
 
 def typed(c: Column, kind: str) -> Column:
-    """Text to ``kind``; the class check has made sure that it casts."""
+    """Text to ``kind``; the class check has made sure that it casts. Dates with the year last become dates
+    by the order that fits the whole column; where every value fits both, the day comes first."""
+    if kind in ORDERS:
+        return F.regexp_replace(F.trim(c), YEAR_LAST_PATTERN, ORDERS[kind]).cast("date")
     return c if kind == "string" else F.trim(c).cast(kind)
 
 

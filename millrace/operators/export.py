@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace import storage
 from millrace.names import quote
 
 CSV_WRITE = {
@@ -43,13 +46,29 @@ def _stamp_text(c):
 def export_csv(
     df: DataFrame, path: str, single_file: bool = False, sep: str = ",", encoding: str = "UTF-8"
 ) -> str:
-    """Write ``df`` under ``path`` as CSV with a header in each part file.
+    """Write ``df`` as CSV: under ``path`` a part per partition, each with a header, or with ``single_file`` one
+    file ``path`` of all rows with one header, in the order of the partitions.
 
-    One part per partition by default. With ``single_file`` all rows go through one task into one
-    part; they stream through it, so their number is not limited, and what makes them stays parallel.
+    The rows of a single file are written by as many tasks as there are partitions, side by side, and the file
+    system then joins the parts. A failure leaves no file and no parts; an existing file is an error.
     """
     text = csv_text(df)
-    if single_file:
-        text = text.repartition(1)
-    text.write.options(**CSV_WRITE | {"sep": sep}, encoding=encoding).csv(path)
+    options = CSV_WRITE | {"sep": sep, "encoding": encoding}
+    if not single_file:
+        text.write.options(**options).csv(path)
+        return path
+    spark = df.sparkSession
+    if storage.exists(spark, path):
+        raise FileExistsError(path)
+    parts = f"{path.rstrip('/')}.parts-{uuid.uuid4().hex[:12]}"
+    try:
+        head = spark.createDataFrame([tuple(df.columns)], ", ".join(f"c{i} string" for i in range(len(df.columns))))
+        head.coalesce(1).write.options(**options | {"header": "false"}).csv(f"{parts}/head")
+        text.write.options(**options | {"header": "false"}).csv(f"{parts}/body")
+        pieces = [f"{parts}/{d}/{n}" for d in ("head", "body") for n in sorted(storage.names(spark, f"{parts}/{d}")) if n.startswith("part-")]
+        storage.join(spark, pieces, f"{parts}/whole")
+        if not storage.rename(spark, f"{parts}/whole", path):
+            raise FileExistsError(path)
+    finally:
+        storage.remove(spark, parts)
     return path

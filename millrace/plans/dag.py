@@ -35,6 +35,7 @@ from millrace.operators.export import export_csv
 from millrace.operators.transform import query
 from millrace.session import shared_root, tune
 from millrace.sources import excel, preprocess
+from millrace.sources.programs import Program
 from millrace.sources.csv import read_csv_lines
 from millrace.sources.jdbc import read_db_source
 
@@ -108,7 +109,8 @@ def node_inputs(node: Mapping) -> dict:
     if kind in ("csv_source", "excel_source"):
         names = ("file_path", "selected_sheet", "schema")
         picked = {k: config[k] for k in names if config.get(k)}
-        return picked | {"preprocessing": preprocess.normalize(config.get("preprocessing"))}
+        program = Program.of(config.get("preprocessing"))
+        return picked | {"preprocessing": program and program.identity}
     if kind == "transform":
         return {"sql": config.get("sql")}
     return dict(config)
@@ -147,8 +149,9 @@ def _digest(*parts) -> str:
 def _source_path(spark: SparkSession, config: Mapping) -> str:
     """Where a file source's rows come from: its files, or its program's kept output."""
     path = str(config.get("file_path", "")).strip()
-    if path and preprocess.normalize(config.get("preprocessing")):
-        kept = preprocess.artifact_path(spark, path, config["preprocessing"])
+    program = Program.of(config.get("preprocessing"))
+    if path and program:
+        kept = preprocess.kept_at(spark, path, program)
         return kept if storage.complete(spark, kept) else path
     return path
 
@@ -161,31 +164,19 @@ def _read_excel(spark: SparkSession, config: Mapping) -> DataFrame:
     if not path:
         raise ValueError("an Excel node needs its workbooks in file_path")
     files = excel.workbook_files(spark, path)
-    program = preprocess.normalize(config.get("preprocessing"))
+    program = Program.of(config.get("preprocessing"))
     if program is None:
         return excel.read_excel(files, sheet)
-    kept = excel_artifact(spark, config)
-    if not storage.complete(spark, kept):
-        raise RuntimeError(
-            "preprocessing is enabled for this source: run it and review its output before loading"
-        )
-    return read_csv_lines(preprocess.artifact_lines(spark, kept))
-
-
-def excel_artifact(spark: SparkSession, config: Mapping) -> str:
-    sheet_path = f"{config['file_path']}#{config['selected_sheet']}"
-    return preprocess.artifact_path(spark, sheet_path, config["preprocessing"])
+    return read_csv_lines(preprocess.reviewed_lines(spark, f"{path}#{sheet}", program))
 
 
 def prepare_excel(spark: SparkSession, config: Mapping) -> str:
-    """Run an Excel source's program on the CSV text of its sheet (on standard input)."""
-    files = excel.workbook_files(spark, config["file_path"])
-    text = excel.sheet_csv_lines(files, config["selected_sheet"])
-    program = preprocess.normalize(config["preprocessing"])
-    timeout = float(config["preprocessing"].get("timeout_seconds") or preprocess.TIMEOUT_SECONDS)
-    lines = preprocess.run_script(text, program, with_content=True, timeout=timeout)
-    target = excel_artifact(spark, config)
-    lines.write.mode("overwrite").parquet(target)
+    """Run an Excel source's program on the CSV text of its sheet, streamed to its standard input."""
+    path, sheet = config["file_path"], config["selected_sheet"]
+    program = Program.of(config["preprocessing"])
+    text = excel.sheet_csv_lines(excel.workbook_files(spark, path), sheet)
+    target = preprocess.kept_at(spark, f"{path}#{sheet}", program)
+    preprocess.run_on_lines(text, program).write.mode("overwrite").parquet(target)
     return target
 
 

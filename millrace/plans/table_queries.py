@@ -18,6 +18,7 @@ from millrace.names import quote
 from millrace.operators.export import CSV_WRITE, csv_text, export_csv
 from millrace.operators.ordering import Asc, Desc
 from millrace.operators.preview import describe, page
+from millrace.operators.stored_pages import stored_page, stored_total
 from millrace.plans import dag
 from millrace.plans.sources import table
 from millrace.plans.workbooks import workbook
@@ -96,12 +97,13 @@ def csv_mixed_read(spark, sf):
 
 @checked(
     "csv_mixed_id",
-    """SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, p_name, p_retailprice FROM part
-       UNION ALL SELECT 'K-17-b', max(p_name), max(p_retailprice) FROM part""",
+    """SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, p_name, p_brand, p_type, CAST(p_size AS BIGINT) AS p_size,
+              p_retailprice FROM part
+       UNION ALL SELECT 'K-17-b', max(p_name), max(p_brand), max(p_type), max(p_size), max(p_retailprice) FROM part""",
 )
 def csv_mixed_id(spark, sf):
-    part = table(spark, sf, "part").select("p_partkey", "p_name", "p_retailprice")
-    odd = part.agg(F.max("p_name").alias("p_name"), F.max("p_retailprice").alias("p_retailprice"))
+    part = table(spark, sf, "part")
+    odd = part.agg(*[F.max(c).alias(c) for c in part.columns if c != "p_partkey"])
     odd = odd.withColumn("p_partkey", F.lit("K-17-b"))
     keyed = part.withColumn("p_partkey", F.col("p_partkey").cast("string"))
     path = export_csv(keyed.unionByName(odd), workspace(spark, "part"))
@@ -448,10 +450,6 @@ def schema_report(spark, sf):
     return describe(table(spark, sf, "orders"))
 
 
-def table_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(FRAMES)
-
-
 @checked("dag_reuse_append", "SELECT count(*) AS n, sum(user_id)::BIGINT AS users FROM events")
 def dag_reuse_append(spark, sf):
     """A count over a table that grows between two runs: the second run must not reuse the first's rows."""
@@ -465,3 +463,112 @@ def dag_reuse_append(spark, sf):
     tables.append(events.where(~first), name)
     dag.run_dag(spark, spec)
     return spark.table("event_total")
+
+
+@checked(
+    "csv_date_forms",
+    """SELECT o_orderkey, o_orderdate::DATE AS european, o_orderdate::DATE AS american,
+              o_orderdate::DATE AS dotted, o_orderdate::DATE AS dashed, o_orderdate::DATE AS iso,
+              strftime(o_orderdate, '%d/%m/%Y') || ' ' || CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE 'x' END AS mixed
+       FROM orders""",
+)
+def csv_date_forms(spark, sf):
+    day = lambda form: F.date_format("o_orderdate", form)
+    forms = {"european": "dd/MM/yyyy", "american": "M/d/yyyy", "dotted": "d.M.yyyy", "dashed": "dd-MM-yyyy", "iso": "yyyy-MM-dd"}
+    odd = F.concat(day("dd/MM/yyyy"), F.lit(" "), F.when(F.col("o_orderkey") % 2 == 0, "").otherwise("x"))
+    dated = table(spark, sf, "orders").select(
+        "o_orderkey", *[day(f).alias(n) for n, f in forms.items()], odd.alias("mixed")
+    )
+    return csv_source.read_csv(spark, export_csv(dated, workspace(spark, "dated")))
+
+
+@checked("export_single", "SELECT *, 1 AS files FROM orders")
+def export_single(spark, sf):
+    """One file, written by several tasks, with one header, read back."""
+    orders = table(spark, sf, "orders").repartitionByRange(4, "o_orderkey")
+    path = export_csv(orders, f"{workspace(spark, 'single')}/orders.csv", single_file=True)
+    known = csv_source.Dialect(sep=",", encoding="utf-8", header=True)
+    back = csv_source.read_csv(spark, path, known, ", ".join(f"{n} {t}" for n, t in orders.dtypes))
+    files = spark.read.format("binaryFile").load(path.rpartition("/")[0]).agg(F.count("*").cast("int").alias("files"))
+    return back.crossJoin(F.broadcast(files))  # one row
+
+
+PAGES = 5
+
+
+@checked("preview_stored_page", "SELECT *, count(*) OVER () AS total FROM customer")
+def preview_stored_page(spark, sf):
+    """All pages of a table that has no sort key, one after the other."""
+    path = workspace(spark, "paged")
+    table(spark, sf, "customer").repartition(3).write.parquet(path)
+    total = stored_total(spark, path)
+    size = -(-total // PAGES)
+    pages = [stored_page(spark, path, i * size, size) for i in range(PAGES)]
+    out = pages[0]
+    for p in pages[1:]:
+        out = out.unionAll(p)
+    return out.withColumn("total", F.lit(total).cast("bigint"))
+
+
+@checked(
+    "dag_one_node",
+    """SELECT 'dag_orders' AS node_id, 'success' AS status, TRUE AS reused, count(*) AS row_count FROM orders
+       UNION ALL SELECT 'dag_counts', 'success', FALSE, count(DISTINCT o_custkey) FROM orders""",
+)
+def dag_one_node(spark, sf):
+    """One node of a graph alone, with what it needs: its source has run before."""
+    graph = _diamond(spark, sf)
+    source = next(n for n in graph["nodes"] if n["id"] == "dag_orders")
+    dag.run_node(spark, source)
+    return dag.run_dag(spark, graph, only="dag_counts").select("node_id", "status", "reused", "row_count")
+
+
+@checked(
+    "dag_missing_upstream",
+    """SELECT 'dag_lone' AS node_id, 'error' AS status, CAST(NULL AS BIGINT) AS row_count
+       UNION ALL SELECT 'dag_after', 'skipped', NULL
+       UNION ALL SELECT 'dag_ordered', 'success', count(*) FROM orders""",
+)
+def dag_missing_upstream(spark, sf):
+    """A transform that reads a table no node makes fails, what is below it is skipped, the rest runs."""
+    path = export_csv(table(spark, sf, "orders"), workspace(spark, "orders"))
+    tables.drop(spark, "dag_nowhere")
+    nodes = [
+        _node("dag_lone", "transform", sql="SELECT * FROM dag_nowhere"),
+        _node("dag_after", "transform", sql="SELECT * FROM dag_lone"),
+        _node("dag_ordered", "csv_source", file_path=path),
+    ]
+    graph = {"nodes": nodes, "edges": [{"source": "dag_lone", "target": "dag_after"}]}
+    return dag.run_dag(spark, graph).select("node_id", "status", "row_count")
+
+
+@checked("dag_export", "SELECT o_custkey, count(*) AS n, max(o_totalprice) AS top FROM orders GROUP BY o_custkey")
+def dag_export(spark, sf):
+    """An export node below the diamond; its files read back."""
+    graph, path = _diamond(spark, sf), workspace(spark, "dag-out")
+    graph["nodes"].append(_node("dag_out", "export", format="csv", path=path))
+    graph["edges"].append({"source": "dag_both", "target": "dag_out"})
+    dag.run_dag(spark, graph)
+    return csv_source.read_csv(spark, path)
+
+
+@checked(
+    "tables_exist_drop",
+    """SELECT 'made' AS step, TRUE AS there, count(*) AS n FROM supplier
+       UNION ALL SELECT 'dropped', FALSE, NULL UNION ALL SELECT 'dropped again', FALSE, NULL
+       UNION ALL SELECT 'files stay', FALSE, count(*) FROM supplier""",
+)
+def tables_exist_drop(spark, sf):
+    """What is known of a table as it is made, dropped and dropped once more; its files outlive its name."""
+    name, path = "kept suppliers", workspace(spark, "kept")
+    tables.materialize(table(spark, sf, "supplier"), name, path)
+    seen = [("made", tables.exists(spark, name), spark.table(quote(name)).count())]
+    for step in ("dropped", "dropped again"):
+        tables.drop(spark, name)
+        seen.append((step, tables.exists(spark, name), None))
+    seen.append(("files stay", tables.exists(spark, name), spark.read.parquet(path).count()))
+    return spark.createDataFrame(seen, "step string, there boolean, n bigint")
+
+
+def table_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(FRAMES)

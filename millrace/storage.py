@@ -29,3 +29,28 @@ def names(spark: SparkSession, path: str) -> list[str]:
     """Names of what a folder holds; none if there is no such folder."""
     fs, target = _located(spark, path)
     return [f.getPath().getName() for f in fs.listStatus(target)] if fs.exists(target) else []
+
+
+def rename(spark: SparkSession, path: str, to: str) -> bool:
+    fs, source = _located(spark, path)
+    return fs.rename(source, spark._jvm.org.apache.hadoop.fs.Path(to))
+
+
+def join(spark: SparkSession, paths: list[str], to: str) -> None:
+    """Make one file ``to`` of the files ``paths``, in their order, which are gone then.
+
+    The file system does it: a change of names where it has blocks (HDFS), an append to the first file on a
+    local disk. One that can do neither refuses, and nothing is made.
+    """
+    fs, target = _located(spark, to)
+    if hasattr(fs, "getRawFileSystem") and fs.getScheme() == "file":
+        fs = fs.getRawFileSystem()  # the checksums of local files do not join
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    first, *others = [path(p) for p in paths if _located(spark, p)[0].getFileStatus(path(p)).getLen()]
+    if others:
+        listed = spark.sparkContext._gateway.new_array(path, len(others))
+        for i, p in enumerate(others):
+            listed[i] = p
+        fs.concat(first, listed)
+    if not fs.rename(first, target):
+        raise OSError(f"cannot put {first} at {to}")

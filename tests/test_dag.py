@@ -4,7 +4,7 @@ from millrace import tables
 from millrace.plans import dag
 from millrace.session import release
 from millrace.sources import preprocess
-from tests.test_csv import NOTED, SAMPLE, put
+from tests.test_csv import NOTED, PARTS, put
 
 
 def node(id_, type_, table=None, **config):
@@ -25,9 +25,9 @@ def by_id(frame):
 
 @pytest.fixture
 def chain(tmp_path):
-    src = node("src", "csv_source", file_path=put(tmp_path, "sample.csv", SAMPLE))
-    few = node("few", "transform", "few rows", sql="SELECT * FROM src WHERE id > 2")
-    top = node("top", "transform", sql="SELECT max(value) AS value, max(value) AS value FROM `few rows`")
+    src = node("src", "csv_source", file_path=put(tmp_path, "parts.csv", PARTS))
+    few = node("few", "transform", "few rows", sql="SELECT * FROM src WHERE part > 811")
+    top = node("top", "transform", sql="SELECT max(price) AS value, max(price) AS value FROM `few rows`")
     return spec([top, few, src], ("src", "few"), ("few", "top"))
 
 
@@ -53,25 +53,25 @@ def test_run_reuse_and_change(spark, chain, tmp_path):
         )
     )
     assert seen == ["src", "success", "few", "success", "top", "success"]
-    assert (first["src"]["row_count"], first["src"]["column_count"]) == (5, 3)
+    assert (first["src"]["row_count"], first["src"]["column_count"]) == (4, 3)
     assert first["few"]["row_count"] == 3 and first["top"]["columns"] == ["value", "value_1"]
     assert not any(r["reused"] for r in first.values())
     assert first["src"]["execution_time_ms"] > 0 and first["src"]["finished_at"]
-    assert spark.table("top").first()[0] == 50.25
+    assert spark.table("top").first()[0] == 70.0
 
     assert all(r["reused"] for r in by_id(dag.run_dag(spark, chain)).values())
     forced = by_id(dag.run_dag(spark, chain, force=True))
     assert not any(r["reused"] for r in forced.values()) and forced["few"]["row_count"] == 3
 
     changed = {**chain, "nodes": [dict(n) for n in chain["nodes"]]}
-    changed["nodes"][1] = {**changed["nodes"][1], "config": {"sql": "SELECT * FROM src WHERE id <= 2"}}
+    changed["nodes"][1] = {**changed["nodes"][1], "config": {"sql": "SELECT * FROM src WHERE price < 10"}}
     assert dag.drop_changed(spark, chain, changed) == ["few"]
     assert not tables.exists(spark, "few rows")
     again = by_id(dag.run_dag(spark, changed))
     assert [again[n]["reused"] for n in ("src", "few", "top")] == [True, False, False]
-    assert again["few"]["row_count"] == 2 and spark.table("top").first()[0] == 20.0
+    assert again["few"]["row_count"] == 2 and spark.table("top").first()[0] == 9.25
 
-    put(tmp_path, "sample.csv", SAMPLE + "6,Flo,1.0\n")
+    put(tmp_path, "parts.csv", PARTS + "815,Enns,11.0\n")
     grown = by_id(dag.run_dag(spark, chain))
     assert not grown["src"]["reused"] and grown["few"]["row_count"] == 4
 
@@ -103,7 +103,7 @@ def test_views_and_export(spark, chain, tmp_path):
     out = node("out", "export", format="csv", path=str(tmp_path / "out"))
     graph = spec(chain["nodes"] + [out], ("src", "few"), ("few", "top"), ("few", "out"))
     got = by_id(dag.run_dag(spark, graph, materialize=False))
-    assert got["few"]["row_count"] is None and got["few"]["columns"] == ["id", "name", "value"]
+    assert got["few"]["row_count"] is None and got["few"]["columns"] == ["part", "maker", "price"]
     assert (got["out"]["status"], got["out"]["row_count"]) == ("success", 0)
     assert spark.read.csv(str(tmp_path / "out"), header=True).count() == 3
     bad = node("x", "export", format="xml", path="y")
