@@ -110,9 +110,9 @@ def csv_mixed_id(spark, sf):
     return csv_source.read_csv(spark, path)
 
 
-def _noted_files(spark, df: DataFrame) -> str:
-    """CSV files with two lines of notes ahead of the header."""
-    head = ["orders as exported", "second sheet of two", ",".join(df.columns)]
+def _noted_files(spark, df: DataFrame, notes: tuple[str, ...] = ("orders as exported", "second sheet of two")) -> str:
+    """CSV files with lines of notes ahead of the header."""
+    head = [*notes, ",".join(df.columns)]
 
     def with_notes(batches):
         yield pd.DataFrame({"value": head})
@@ -131,6 +131,15 @@ def csv_preamble(spark, sf):
     return csv_source.read_csv(spark, _noted_files(spark, table(spark, sf, "orders")))
 
 
+LONG_NOTES = tuple(f"note {i}" + ", and more" * (i * 7 % 5) + ' as "told"' * (i % 3) for i in range(60))
+
+
+@checked("csv_long_preamble", "SELECT * FROM orders")
+def csv_long_preamble(spark, sf):
+    """The header is below sixty lines of notes with commas and quotes of their own."""
+    return csv_source.read_csv(spark, _noted_files(spark, table(spark, sf, "orders"), LONG_NOTES))
+
+
 @checked("csv_preprocessed", "SELECT * FROM orders")
 def csv_preprocessed(spark, sf):
     path = _noted_files(spark, table(spark, sf, "orders"))

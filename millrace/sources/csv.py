@@ -28,6 +28,8 @@ from millrace.functions.dialect import (
     parse,
 )
 from millrace.names import dedupe, default_names
+from millrace.session import store
+from millrace.sources import even_runs
 from millrace.sources.lines import records, text_lines
 
 PREVIEW_LIMIT = 100
@@ -37,7 +39,7 @@ WHOLE_FILE_BYTES = 64 * 1024 * 1024
 
 HEAD_SCHEMA = (
     "path string, sep string, n_cols int, skip_rows int, has_header boolean, "
-    "first_cells array<string>"
+    "first_cells array<string>, settled boolean"
 )
 PREVIEW_SCHEMA = "path string, pos int, cells array<string>, truncated boolean"
 
@@ -121,11 +123,46 @@ def profile_lines(
     return _file_facts(lines).join(_heads(lines, sep, expected, in_order), "path")
 
 
+def _deepened(lines: DataFrame, profile: DataFrame, sep: str | None) -> DataFrame:
+    """``profile`` with the files looked at whole whose heads show no even table: where the table that
+    reaches the file's end starts, and its first row from there."""
+    own = lines.join(profile.where("NOT settled").select("path"), "path", "left_semi")
+    found = store(even_runs.tables(own, sep), "even-runs")
+    start = found.select("path", F.col("sep").alias("__sep"), F.col("skip").alias("__skip"))
+    top = own.where("block = 0").join(start, "path").repartition("path").sortWithinPartitions("path", "pos")
+    top = top.select("path", F.col("value").cast("binary").alias("value"), "__sep", "__skip")
+
+    def describe(batches):
+        rows = (row for frame in batches for row in frame.itertuples(index=False, name=None))
+        for path, run in groupby(rows, key=lambda row: row[0]):
+            taken, size = [], 0
+            for at, (_, line, known, skip) in enumerate(run):
+                if at >= skip and (size < SAMPLE_CHARS or len(taken) <= SAMPLE_ROWS):
+                    taken.append(bytes(line))
+                    size += len(taken[-1]) + 1
+            if taken:
+                head = describe_head(decode_head(b"\n".join(taken)), known, False)
+                yield pd.DataFrame([{"path": path, **head, "skip_rows": head["skip_rows"] + skip, "settled": True}])
+
+    heads = top.mapInPandas(describe, HEAD_SCHEMA)
+    names = [f.split()[0] for f in HEAD_SCHEMA.split(", ")][1:]
+    better = heads.select("path", *[F.col(n).alias(f"__{n}") for n in names])
+    merged = profile.join(store(better, "deep-heads"), "path", "left")
+    for n in names:
+        chosen = F.when(F.col("__settled"), F.col(f"__{n}")).otherwise(F.col(n))
+        merged = merged.withColumn(n, F.lit(True) if n == "settled" else chosen)
+    return merged.drop(*[f"__{n}" for n in names])
+
+
 def profile_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """One row per file: path, encoding, multiline, bom, n_lines, n_bytes, sep, n_cols,
     skip_rows, has_header, first_cells. Encoding and multiline come from the whole file, the
-    delimiter from its first 4,096 characters."""
-    return profile_lines(text_lines(spark, path))
+    delimiter from its first 4,096 characters, or from the whole file if they show no even table."""
+    lines = text_lines(spark, path)
+    found = store(profile_lines(lines), "profile")
+    if not found.where("NOT settled").isEmpty():
+        found = _deepened(lines, found, None)
+    return found.drop("settled")
 
 
 def preview_lines(
@@ -192,6 +229,7 @@ class _Group:
     first: tuple[str, ...]
     one_first_row: bool
     files: int
+    settled: bool = True
 
 
 _KEYS = ["encoding", "sep", "n_cols", "skip_rows", "multiline", "bom", "large"]
@@ -213,16 +251,26 @@ def _groups(profile: DataFrame, dialect: Dialect) -> list[_Group]:
             F.min("first_cells").alias("lo"),
             F.max("first_cells").alias("hi"),
             F.count(F.lit(1)).alias("files"),
+            F.bool_and("settled").alias("settled"),
         )
         .collect()
     )
     if not rows:
         raise FileNotFoundError("no CSV file with any line")
     return [
-        _Group(*[r[k] for k in _KEYS], tuple(r["lo"]), r["lo"] == r["hi"], r["files"]) for r in rows
+        _Group(*[r[k] for k in _KEYS], tuple(r["lo"]), r["lo"] == r["hi"], r["files"], r["settled"]) for r in rows
     ]
 
 
+def _profiled(lines: DataFrame, dialect: Dialect, expected, in_order: bool) -> tuple[DataFrame, list[_Group]]:
+    profile = profile_lines(lines, dialect.sep, expected, in_order)
+    groups = _groups(profile, dialect)
+    if dialect.skip_rows is None and not all(g.settled for g in groups):
+        profile = _deepened(lines, profile, dialect.sep)
+        groups = _groups(profile, dialect)
+    return profile, groups
+
+
 def _csv_options(sep: str) -> dict:
     return {
         "sep": sep,
@@ -365,15 +413,13 @@ def read_csv_lines(
     spark = lines.sparkSession
     dialect = dialect or Dialect()
     in_order = plain_path is not None
-    profile = profile_lines(lines, dialect.sep, None, in_order)
-    groups = _groups(profile, dialect)
+    profile, groups = _profiled(lines, dialect, None, in_order)
     if len({g.first for g in groups}) > 1 or not all(g.one_first_row for g in groups):
         # Some heads may have been misread: see whether the commonest first rows are in them.
         shared = [g for g in groups if g.one_first_row]
         top = max((g.files for g in shared), default=0)
         expected = [(g.sep, list(g.first)) for g in shared if 2 * g.files > top]
-        profile = profile_lines(lines, dialect.sep, expected, in_order)
-        groups = _groups(profile, dialect)
+        profile, groups = _profiled(lines, dialect, expected, in_order)
     widths = {g.n_cols for g in groups}
     if len(widths) > 1:
         raise ValueError(f"the files differ in their number of columns: {sorted(widths)}")

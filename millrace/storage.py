@@ -37,20 +37,23 @@ def rename(spark: SparkSession, path: str, to: str) -> bool:
 
 
 def join(spark: SparkSession, paths: list[str], to: str) -> None:
-    """Make one file ``to`` of the files ``paths``, in their order, which are gone then.
+    """Make one file ``to`` of the files ``paths``, in their order, which may be gone then.
 
-    The file system does it: a change of names where it has blocks (HDFS), an append to the first file on a
-    local disk. One that can do neither refuses, and nothing is made.
+    The file system does it: a change of names where files are lists of blocks (HDFS), a copy on a local disk.
+    One that can do neither refuses, and nothing is made.
     """
     fs, target = _located(spark, to)
-    if hasattr(fs, "getRawFileSystem") and fs.getScheme() == "file":
-        fs = fs.getRawFileSystem()  # the checksums of local files do not join
     path = spark._jvm.org.apache.hadoop.fs.Path
-    first, *others = [path(p) for p in paths if _located(spark, p)[0].getFileStatus(path(p)).getLen()]
-    if others:
-        listed = spark.sparkContext._gateway.new_array(path, len(others))
-        for i, p in enumerate(others):
+    full = [p for p in map(path, paths) if fs.getFileStatus(p).getLen()]
+    local = fs.getScheme() == "file"
+    if local:
+        # Checksums of local files do not join, and a local target is written anew.
+        fs = fs.getRawFileSystem()
+        fs.create(target).close()
+    elif not fs.rename(full.pop(0), target):
+        raise OSError(f"cannot make {to}")
+    if full:
+        listed = spark.sparkContext._gateway.new_array(path, len(full))
+        for i, p in enumerate(full):
             listed[i] = p
-        fs.concat(first, listed)
-    if not fs.rename(first, target):
-        raise OSError(f"cannot put {first} at {to}")
+        fs.concat(target, listed)

@@ -231,3 +231,45 @@ def test_key_value_folders(spark, tmp_path):
         put(tmp_path / f"day={day}", "x y.csv", "id,name\n1,a\n2,b\n")
     df = C.read_csv(spark, str(tmp_path))
     assert df.columns == ["id", "name"] and df.count() == 4
+
+
+@pytest.mark.parametrize("notes, block", [(60, "128m"), (400, "8k"), (300, "128m")])
+def test_header_at_any_depth(spark, tmp_path, notes, block):
+    lines = [f"note {i}" + ", more" * (i * 5 % 4) for i in range(notes)]
+    rows = [f'{i},"town ""{i % 7}"", east\nbank",{i / 4}' if i % 9 == 0 else f"{i},town {i},{i / 4}" for i in range(2000)]
+    path = put(tmp_path, "deep.csv", "\n".join([*lines, "", "gauge,town,level", *rows]) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+    try:
+        prof = C.profile_csv(spark, path).first()
+        assert (prof["skip_rows"], prof["n_cols"], prof["sep"]) == (notes + 1, 3, ",")
+        df = C.read_csv(spark, path)
+        assert df.dtypes == [("gauge", "bigint"), ("town", "string"), ("level", "double")]
+        got = {r["gauge"]: (r["town"], r["level"]) for r in df.collect()}
+        assert len(got) == 2000 and got[10] == ("town 10", 2.5) and got[9] == ('town "2", east\nbank', 2.25)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_runs_do_not_depend_on_the_cuts():
+    from millrace.sources.even_runs import Run, joined
+
+    text = [b"a", b'b,"x', b'y",c', b"", b"1,2,3", b'4,"5', b'5,6"",7', b'",8', b"9,10,11", b'12,"13",14']
+    for cut in range(len(text) + 1):
+        for second in range(cut, len(text) + 1):
+            blocks = []
+            for part in (text[:cut], text[cut:second], text[second:]):
+                pair = [Run(False), Run(True)]
+                for run in pair:
+                    for line in part:
+                        run.add(line, b",")
+                blocks.append(pair)
+            whole = joined(blocks)
+            assert (whole.width, whole.n, whole.at) == (3, 5, 1)
+
+
+def test_dates_by_the_whole_column(spark, tmp_path):
+    text = "a,b,c,d,e\n03/04/2024,03/04/2024,1.2.2024,31-12-2023,03/04/2024\n25/12/2024,12/25/2024,2.1.2024,1-2-2024,31/31/2024\n"
+    df = C.read_csv(spark, put(tmp_path, "days.csv", text))
+    assert [t for _, t in df.dtypes] == ["date", "date", "date", "date", "string"]
+    first = df.where("a = DATE '2024-04-03'").first()
+    assert tuple(first)[:4] == (dt.date(2024, 4, 3), dt.date(2024, 3, 4), dt.date(2024, 2, 1), dt.date(2023, 12, 31))
