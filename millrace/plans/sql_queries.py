@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators import joins, ordering, sets
+from millrace.operators.bands import band_join
 from millrace.operators.ordering import Asc, Desc
 from millrace.operators.quantile import exact_quantiles
 from millrace.operators.transform import query
@@ -158,6 +159,21 @@ pair(
 )
 
 
+@frame(
+    "q_band",
+    """SELECT c_custkey, c_acctbal, min(s_suppkey) AS s_suppkey, arg_min(s_acctbal, s_suppkey) AS low,
+              arg_min(s_acctbal + 25, s_suppkey) AS high
+       FROM customer LEFT JOIN supplier ON c_acctbal >= s_acctbal AND c_acctbal < s_acctbal + 25
+       GROUP BY c_custkey, c_acctbal""",
+)
+def q_band(spark, sf):
+    """Customers with the first supplier, by key, whose band holds their balance."""
+    low = F.col("s_acctbal")
+    bands = table(spark, sf, "supplier").select("s_suppkey", low.alias("low"), (low + 25).alias("high"))
+    points = table(spark, sf, "customer").select("c_custkey", "c_acctbal")
+    return band_join(points, bands, "c_acctbal", "low", "high", ["s_suppkey"])
+
+
 @frame(
     "q_theta",
     """SELECT b.s_nationkey, b.lo, b.hi, count(c_custkey) AS n
