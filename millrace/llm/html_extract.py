@@ -24,10 +24,13 @@ from millrace.llm.common import no_nulls, slices
 
 #: Labelled pages the weights are learned from, about.
 TRAINING_PAGES = 4000
+#: Hashes a page may have.
+HASHES = 1 << 62
 
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>", re.S
-)
+# What opens a comment, a declaration or a tag. Everything after the name is possessive: nothing is read twice.
+_OPENER = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>]*+))")
+# The rest of a tag. A quote opens a value after "=" only, and one that is never closed opens none.
+_REST = re.compile(r"((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>")
 _NAMES = re.compile(r"(?:\b(?:class|id|role))\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _BOILERPLATE = re.compile(
     r"(?:^|[-_\s])(?:nav|navbar|navigation|menu|sidebar|side|aside|complementary|footer|contentinfo|header|masthead|"
@@ -54,6 +57,8 @@ _COMMENT = re.compile(r"\bcomment", re.I)
 _CONTAINERS = frozenset("nav header footer aside form menu dialog button select fieldset".split())
 #: Containers a whole page may stand in.
 _WRAPPERS = frozenset(("form", "fieldset"))
+#: Longer ones in class, id or role are data, not names.
+LONGEST_NAME = 200
 #: Share of the page's words with which a container is the page, whatever its name.
 MOST = 0.75
 _SKIPPED = frozenset(
@@ -73,7 +78,7 @@ _SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("opti
 @lru_cache(maxsize=10_000)
 def _named(names: str) -> tuple[bool, bool, bool]:
     """What class, id and role say: boilerplate for sure, perhaps boilerplate, a comment."""
-    own = [n for n in names.split() if not _QUALIFIER.search(n)]
+    own = [n for n in names.split() if len(n) <= LONGEST_NAME and not _QUALIFIER.search(n)]
     real = any(_REAL.search(n) and not _AROUND.search(n) for n in own)
     return real, any(_BOILERPLATE.search(n) for n in own), any(_COMMENT.search(n) for n in own)
 
@@ -98,6 +103,46 @@ def _settled(out: list[tuple], parents: list[int]) -> list[tuple[str, bool, bool
     return [(key, sure or bad[k], inside, block, data) for key, sure, inside, block, data, k in out]
 
 
+def tags(page: str) -> Iterator[tuple[str, bool, str, str]]:
+    """``(text before, closing, name, attributes)`` of each tag, in time linear in the page.
+
+    Comments and declarations have no name; the text after the last tag comes with none either. A tag that the
+    page breaks off in is dropped, as browsers do. Where quoted values leave a tag without an end, it and all
+    tags after it end at the first ">", so a page is not read to its end more than once for that.
+    """
+    at, end, quotes = 0, len(page), True
+    last = page.rfind(">")
+    while at < end:
+        found = _OPENER.search(page, at)
+        if not found:
+            break
+        before, start = page[at : found.start()], found.end()
+        closing, name, attributes = bool(found[1]), (found[2] or "").lower(), ""
+        if page.startswith("<!--", found.start()):
+            stop = page.find("-->", start)
+            at = end if stop < 0 else stop + 3
+        elif last < start:
+            at = end
+            name = ""
+        elif not name:
+            at = page.index(">", start) + 1
+        else:
+            rest = _REST.match(page, start) if quotes else None
+            if rest:
+                attributes, at = rest[1], rest.end()
+            else:
+                quotes = False
+                at = page.index(">", start) + 1
+                attributes = page[start : at - 1]
+        if name in _RAW and not closing:
+            close = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at)
+            at = close.end() if close else end
+            name = ""
+        yield before, closing, name, attributes
+    if at < end:
+        yield page[at:], False, "", ""
+
+
 def items(page: str) -> list[tuple[str, bool, bool, str, str]]:
     """The page as ``(key, boilerplate, inside, block or "", text)``: tags have no text and a key "<name".
 
@@ -106,48 +151,38 @@ def items(page: str) -> list[tuple[str, bool, bool, str, str]]:
     """
     out: list[tuple[str, bool, bool, str, str, int]] = []
     stack: list[tuple[str, bool, bool, str, bool, int]] = [("body", False, False, "body", False, 0)]
+    solid = [0]  # for each open element, the nearest one at or above it that is not inline
+    opened: Counter = Counter()
     parents = [0]  # of containers that may be boilerplate, by number; 0 is none
-    at, block = 0, 0
+    block = 0
 
-    def text(data: str) -> None:
+    def pop() -> str:
+        solid.pop()
+        name = stack.pop()[0]
+        opened[name] -= 1
+        return name
+
+    for data, closing, name, attributes in tags(page):
         if data:
             _, sure, inside, element, link, container = stack[-1]
             out.append((element + ("+a" if link else ""), sure, inside, str(block), data, container))
-
-    end = len(page)
-    while at < end:
-        found = _TAG.search(page, at)
-        if not found:
-            text(page[at:])
-            break
-        text(page[at : found.start()])
-        at = found.end()
-        closing, name, attributes = found[1], (found[2] or "").lower(), found[3]
         if not name:
             continue
-        if not closing and name in _RAW:
-            close = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at)
-            at = close.end() if close else end
-            continue
         top = stack[-1]
         if name not in _INLINE:
             block += 1
         out.append(("<" + name, top[1], top[2], "", "", top[5]))
         if closing:
-            if any(s[0] == name for s in stack[1:]):
-                while stack[-1][0] != name:
-                    stack.pop()
-                stack.pop()
+            if opened[name] > 0:
+                while pop() != name:
+                    pass
             continue
         if name in _VOID:
             continue
         closed = _SAME.get(name, ()) if name in _SAME else _CLOSED_BY_BLOCK if name not in _INLINE else ()
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in closed:
-                del stack[k:]
-                break
-            if stack[k][0] not in _INLINE:
-                break
+        if stack[solid[-1]][0] in closed:
+            for _ in range(len(stack) - solid[-1]):
+                pop()
         top = stack[-1]
         sure, inside, container = top[1], top[2], top[5]
         named = " ".join(a or b or c for a, b, c in _NAMES.findall(attributes)) if "=" in attributes else ""
@@ -164,6 +199,8 @@ def items(page: str) -> list[tuple[str, bool, bool, str, str]]:
                 container = len(parents) - 1
         element = top[3] if name in _INLINE else name
         stack.append((name, sure, inside, element, top[4] or name == "a", container))
+        solid.append(solid[-1] if name in _INLINE else len(stack) - 1)
+        opened[name] += 1
     return _settled(out, parents)
 
 
@@ -264,13 +301,16 @@ def _count_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names)
 
 
+def sample_bound(sample: int, n: int) -> int:
+    """How many of ``HASHES`` hashes choose a page, for about ``sample`` of ``n``: never none while there are pages."""
+    return min(HASHES - 1, HASHES * sample // max(n, 1))
+
+
 def fit(pages: DataFrame, sample: int = TRAINING_PAGES) -> Weights:
-    """Weights from about ``sample`` pages, chosen by a hash of the id, that have a mark."""
+    """Weights from about ``sample`` pages, chosen by a hash of id and url, that have a mark."""
     n = pages.count()
-    share = min(1.0, sample / max(n, 1))
-    chosen = pages.select("html").filter(
-        F.col("html").isNotNull() & (F.pmod(F.xxhash64("page_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    )
+    drawn = F.xxhash64("page_id", "url").bitwiseAND(F.lit(HASHES - 1))
+    chosen = pages.filter(F.col("html").isNotNull() & (drawn < F.lit(sample_bound(sample, n)))).select("html")
     counts = (
         chosen.mapInArrow(
             _count_pages, "kind string, key string, bad boolean, marked boolean, inside long, outside long"
@@ -300,7 +340,8 @@ def extracted(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` of every row of ``pages(page_id, url, html)``.
 
     Null or empty html, and pages where nothing scores above zero, have the empty text. Repeated rows are
-    extracted each; an empty table gives no rows.
+    extracted each; an empty table gives no rows; other columns are not read. Pages are taken whole, in time
+    linear in their length whatever their markup; a task holds one page's items at a time.
     """
     weights = fit(pages)
     kind = pages.schema["page_id"].dataType.simpleString()
