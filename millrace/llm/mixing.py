@@ -2,7 +2,7 @@
 
 Tokens are summed per source, each source gets a target, and its repetition rate is target over
 size. A document is then emitted floor(rate) times, plus once more with the fraction as its
-probability, decided by a hash of seed and id, so a rerun or a retried task decides alike.
+probability, decided by a hash of seed, id and text, so a rerun or a retried task decides alike.
 """
 
 from __future__ import annotations
@@ -70,24 +70,32 @@ def targets(
     )
 
 
-def draw(doc_id: Column, seed: int = SEED) -> Column:
-    """A number in [0, 1) that depends on nothing but the seed and the id (null: the text "null")."""
-    text = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null")))
-    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long") / F.lit(2.0**52)
+def draw(doc_id: Column, text: Column, seed: int = SEED) -> Column:
+    """A number in [0, 1) that depends on nothing but the seed, the id and the text (null: the text "null").
+    Ids may be missing or repeat; only rows equal in both are drawn alike."""
+    known = [F.coalesce(c, F.lit("null")) for c in (doc_id.cast("string"), F.md5(text.cast("binary")))]
+    key = F.concat_ws(":", F.lit(str(seed)), *known)
+    return F.conv(F.substring(F.md5(key.cast("binary")), 1, 13), 16, 10).cast("long") / F.lit(2.0**52)
 
 
-def copies(rate: Column, doc_id: Column, seed: int = SEED) -> Column:
+def copies(rate: Column, drawn: Column) -> Column:
     whole = F.floor(rate)
-    return (whole + F.when(draw(doc_id, seed) < rate - whole, 1).otherwise(0)).cast("long")
+    return (whole + F.when(drawn < rate - whole, 1).otherwise(0)).cast("long")
 
 
 def plan_mix(docs: DataFrame, seed: int = SEED, **options) -> DataFrame:
     """``doc_id, source, size, source_size, target, copies`` of every row of ``docs(doc_id, text, source)``.
 
     Null texts have size 0; a null source is a source of its own, last in order; rows of one doc_id
-    are drawn alike; an empty table gives no rows.
+    and text are drawn alike; an empty table gives no rows. A text's length does not matter.
     """
-    sizes = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    # The draw is made here: texts do not go through the join.
+    sizes = docs.select(
+        "doc_id",
+        "source",
+        word_count(F.col("text")).alias("size"),
+        draw(F.col("doc_id"), F.col("text"), seed).alias("drawn"),
+    )
     # The stored table has one row per source. Its measured size decides whether the join below
     # sends it to every task or shuffles (with the hot source then split by adaptive execution).
     per = store(targets(sizes.select("source", "size"), **options), "mix-targets")
@@ -98,7 +106,7 @@ def plan_mix(docs: DataFrame, seed: int = SEED, **options) -> DataFrame:
         "size",
         "source_size",
         "target",
-        copies(F.col("rate"), F.col("doc_id"), seed).alias("copies"),
+        copies(F.col("rate"), F.col("drawn")).alias("copies"),
     )
 
 
@@ -110,7 +118,7 @@ def mix(docs: DataFrame, seed: int = SEED, **options) -> DataFrame:
         F.col("source").alias(of_source), F.col("rate").alias(rate)
     )
     taken = docs.join(per, quoted("source").eqNullSafe(F.col(of_source)), "left").withColumn(
-        every, F.explode(F.array_repeat(F.lit(1), copies(F.col(rate), quoted("doc_id"), seed).cast("int")))
+        every, F.explode(F.array_repeat(F.lit(1), copies(F.col(rate), draw(quoted("doc_id"), quoted("text"), seed)).cast("int")))
     )
     return taken.select(*[quoted(c) for c in docs.columns])
 
@@ -124,7 +132,7 @@ def mixed(docs: DataFrame) -> DataFrame:
 
 ORACLE = """
 WITH d AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents),
+  SELECT doc_id, source, coalesce(md5(text), 'null') AS digest, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents),
 p AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight FROM p),
 l AS (SELECT *, source_size * 2.0::DOUBLE / weight AS full_at FROM w),
@@ -136,7 +144,7 @@ o AS (SELECT *, max(level) FILTER (WHERE level <= full_at) OVER () AS open_level
 t AS (SELECT source, source_size, CASE WHEN open_level IS NULL OR full_at < open_level THEN source_size * 2.0::DOUBLE
   ELSE weight * open_level END AS target FROM o),
 c AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
-  ('0x' || substr(md5('7:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
+  ('0x' || substr(md5('7:' || coalesce(doc_id::VARCHAR, 'null') || ':' || digest), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,
   (size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken FROM c
