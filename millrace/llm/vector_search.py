@@ -31,13 +31,15 @@ STEP = 1024
 
 
 def whole_vectors(embeddings: DataFrame) -> DataFrame:
-    """``vec_id, v``: every component as floor(256 * x). Vectors that are null or hold a null or non-finite
-    component are left out, and rows without an id."""
+    """``row, vec_id, v``: every component as floor(256 * x), and a number of the row that is its own once the
+    table is stored. Vectors that are null or hold a null or non-finite component are left out, and rows
+    without an id."""
     x = F.col("embedding")
     good = F.forall(
         x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e.cast("double")) < F.lit(float("inf")))
     )
     return embeddings.filter(F.col("vec_id").isNotNull() & x.isNotNull() & good).select(
+        F.monotonically_increasing_id().alias("row"),
         F.col("vec_id").cast("long").alias("vec_id"),
         F.transform(x, lambda e: F.floor(e.cast("double") * SCALE).cast("long")).alias("v"),
     )
@@ -65,11 +67,12 @@ def _exact(a: np.ndarray, b: np.ndarray, largest: float) -> np.ndarray:
 
 
 def best_of(
-    query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int = K
+    query_rows: np.ndarray, queries: np.ndarray, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int = K
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best candidates of each query: query ids, candidate ids, scores. Ties go to the smaller id."""
+    """The k best candidates of each query, its own row left out: places of queries, candidate ids, scores.
+    Ties go to the smaller id."""
     order = np.argsort(ids, kind="stable")
-    ids, vectors = ids[order], vectors[order]
+    rows, ids, vectors = rows[order], ids[order], vectors[order]
     largest = float(max(np.abs(queries).max(initial=0), np.abs(vectors).max(initial=0)))
     q_stats = [statistics(queries.astype(float), s) for s in LEVELS]
     floor = np.full(len(queries), -np.inf)
@@ -94,8 +97,8 @@ def best_of(
             if len(qi) > 0.25 * bound.size and s == LEVELS[0]:
                 break  # too few fell out: finer bounds would cost more than the products
         qi, vi = alive
-        own = query_ids[qi] != ids[start + vi]
-        qi, vi = qi[own], vi[own]
+        others = query_rows[qi] != rows[start + vi]
+        qi, vi = qi[others], vi[others]
         if len(qi) > 0.25 * len(queries) * len(part) and largest * largest * vectors.shape[1] < 2.0**53:
             scores = (queries.astype(float) @ part.T.astype(float))[qi, vi].astype(np.int64)
         else:
@@ -117,28 +120,30 @@ def best_of(
         last = rank == k - 1
         floor[kept_q[last]] = kept_s[last]
         kept_q, kept_v, kept_s = kept_q[rank < k], kept_v[rank < k], kept_s[rank < k]
-    return query_ids[kept_q], ids[kept_v], kept_s
+    return kept_q, ids[kept_v], kept_s
 
 
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = K) -> DataFrame:
-    """``query_id, rank, vec_id, score`` for stored whole vectors ``(vec_id, v)``.
+    """``query_id, rank, vec_id, score`` for stored whole vectors ``(row, vec_id, v)``.
 
-    Vectors of different lengths do not match: a query is compared with those of its own length. ``queries``
-    has one row per id; candidates that repeat count each.
+    Vectors of different lengths do not match: a query is compared with those of its own length. Each row of
+    ``queries`` asks, and each of ``candidates`` counts, also where ids repeat.
     """
     n_queries, n = queries.count(), candidates.count()
     blocks = max(1, -(-n_queries // QUERY_BLOCK))
     parts = max(1, -(-n // SLICE))
     asked = queries.select(
-        F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"),
+        F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int").alias("block"),
         F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("slice"),
+        "row",
         "vec_id",
         "v",
     )
     given = candidates.select(
         F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
-        # Not by the id's hash alone: copies of one id spread as well.
-        F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts)).cast("int").alias("slice"),
+        # Not by the id's hash: copies of one id spread as well.
+        F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int").alias("slice"),
+        "row",
         "vec_id",
         "v",
     )
@@ -149,23 +154,27 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = K) -> DataFrame:
             widths = left["v"].map(len), right["v"].map(len)
             for width in sorted({*widths[0]} & {*widths[1]}):
                 q, c = left[widths[0] == width], right[widths[1] == width]
-                found = best_of(
-                    q["vec_id"].to_numpy(np.int64),
+                places, ids, scores = best_of(
+                    q["row"].to_numpy(np.int64),
                     np.array(q["v"].tolist(), np.int64).reshape(len(q), width),
+                    c["row"].to_numpy(np.int64),
                     c["vec_id"].to_numpy(np.int64),
                     np.array(c["v"].tolist(), np.int64).reshape(len(c), width),
                     k,
                 )
-                out.append(pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), found))))
-        empty = pd.DataFrame({c: np.zeros(0, np.int64) for c in ("query_id", "vec_id", "score")})
+                asking = {n: q[n].to_numpy(np.int64)[places] for n in ("row", "vec_id")}
+                out.append(
+                    pd.DataFrame({"row": asking["row"], "query_id": asking["vec_id"], "vec_id": ids, "score": scores})
+                )
+        empty = pd.DataFrame({c: np.zeros(0, np.int64) for c in ("row", "query_id", "vec_id", "score")})
         return pd.concat(out) if out else empty
 
     met = (
         asked.groupBy("block", "slice")
         .cogroup(given.groupBy("block", "slice"))
-        .applyInPandas(searched, "query_id long, vec_id long, score long")
+        .applyInPandas(searched, "row long, query_id long, vec_id long, score long")
     )
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    rank = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "vec_id"))
     return (
         met.withColumn("rank", rank.cast("int"))
         .filter(F.col("rank") <= k)
@@ -174,20 +183,20 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = K) -> DataFrame:
 
 
 def searched(embeddings: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
-    """The k best of every row whose id is divisible by ``every``, against all rows but those of its own id.
-    Queries with no other usable vector, and empty tables, give no rows. Of rows that repeat a query's id
-    the least vector asks."""
+    """The k best of every row whose id is divisible by ``every``, against all other rows. Where an id repeats
+    each of its rows asks, and the others of that id are candidates. Queries with no other usable vector, and
+    empty tables, give no rows; other columns are not read. A vector's length is bounded by memory only: a
+    task holds a block of queries and a slice of candidates."""
     vectors = store(whole_vectors(embeddings), "vectors")
-    queries = vectors.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
-    return top_k(queries, vectors, k)
+    return top_k(vectors.filter(F.col("vec_id") % every == 0), vectors, k)
 
 
 ORACLE = """
-WITH w AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+WITH w AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id,
+s AS (SELECT q.rid, q.vec_id AS query_id, c.vec_id,
   list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]))::BIGINT AS score
-  FROM w q JOIN w c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
-SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score
+  FROM w q JOIN w c ON q.vec_id % 50 = 0 AND q.rid <> c.rid)
+SELECT query_id, (row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score
 FROM s QUALIFY rank <= 5
 """
