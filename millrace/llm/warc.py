@@ -32,6 +32,8 @@ ARCHIVE_BYTES = 1 << 30
 #: Ranges at most this far apart are read together, up to this many bytes.
 GAP = 1 << 16
 READ_BYTES = 8 << 20
+#: Archive bytes a task reads, about.
+TASK_BYTES = 64 << 20
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _NAMES = uuid.UUID("2b6f0d6e-9a43-4d0e-8a55-6f1f6c1f0a51")
@@ -165,7 +167,10 @@ def read_records(index: DataFrame, keep_payload: bool = False) -> DataFrame:
     revisit is null. A response whose payload has another digest than its header is an error.
     """
     wanted = index.select("page_id", "url", "folder", "archive", "offset", "length")
-    ordered = wanted.repartitionByRange("folder", "archive", "offset").sortWithinPartitions(
+    # The number has to be given: tasks are cut by what lies in the archives, not by what the index weighs.
+    size = wanted.agg(F.sum("length")).first()[0] or 0
+    tasks = max(index.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
+    ordered = wanted.repartitionByRange(int(tasks), "folder", "archive", "offset").sortWithinPartitions(
         "folder", "archive", "offset"
     )
 
@@ -197,24 +202,22 @@ def read_records(index: DataFrame, keep_payload: bool = False) -> DataFrame:
                 at = upto
             if found:
                 columns = list(zip(*found))[: 7 if keep_payload else 6]
+                id_kind = batch.schema.field(0).type
+                kinds = [id_kind, pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary()]
                 arrays = [pa.array(v, k) for v, k in zip(columns, kinds)]
+                arrays[5] = arrays[5].cast(id_kind)  # a header's text
                 yield pa.RecordBatch.from_arrays(arrays, names[: len(arrays)])
         if opened[1] is not None:
             opened[1].close()
 
     spark_kind = index.schema["page_id"].dataType.simpleString()
-    id_kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[spark_kind]
-    kinds = [id_kind, pa.string(), pa.string(), pa.int64(), pa.string(), id_kind, pa.binary()]
     names = ["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload"]
     more = ", payload binary" if keep_payload else ""
-    numeric = spark_kind != "string"
 
     def _checked(member: bytes, name: str):
         warc, http, payload = parse(member)
         digest = base64.b32decode(warc["warc-payload-digest"].removeprefix("sha1:")).hex()
         kind, refers = warc["warc-type"], warc.get("x-refers-to-page-id")
-        if refers is not None and numeric:
-            refers = int(refers)
         if kind == "response":
             if hashlib.sha1(payload).hexdigest() != digest:
                 raise ValueError(f"a record of {name} does not match its digest")
@@ -229,7 +232,10 @@ def read_records(index: DataFrame, keep_payload: bool = False) -> DataFrame:
 
 
 def archived(pages: DataFrame) -> DataFrame:
-    """The digest of every page, as read back from the archives."""
+    """The digest of every page, as read back from the archives: a row per row, ids of any integer, decimal or
+    text type. Null and empty html are payloads of 0 bytes; ties and repeated rows are as in
+    ``with_revisits``; an empty table gives no rows; other columns are not read. A task holds a batch of
+    pages or one coalesced read, so a page has to fit in memory, whole."""
     index = write_archives(with_revisits(pages))
     return read_records(index).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
