@@ -206,7 +206,9 @@ def _writable(df: DataFrame) -> DataFrame:
 
 
 _VOLATILE = re.compile(
-    r"\b(rand|randn|random|uuid|shuffle|now|current_(date|time|timestamp)|curdate|localtimestamp|unix_timestamp)\b",
+    r"\b(rand|randn|random|uuid|shuffle|now|current_(date|time|timestamp)|curdate|localtimestamp|unix_timestamp"
+    r"|monotonically_increasing_id|spark_partition_id|input_file_(name|block_start|block_length)"
+    r"|current_(user|catalog|database|schema)|session_user|tablesample)\b",
     re.I,
 )
 

@@ -255,9 +255,10 @@ both(
 )
 pair(
     "q_cube",
-    """SELECT l_returnflag, l_linestatus, count(*) AS n,
-              CAST(grouping(l_returnflag) AS BIGINT) AS g
-       FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)""",
+    # Counted to the finest groups first: the cube then repeats groups, not rows.
+    """SELECT l_returnflag, l_linestatus, sum(n) AS n, CAST(grouping(l_returnflag) AS BIGINT) AS g
+       FROM (SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ALL)
+       GROUP BY CUBE (l_returnflag, l_linestatus)""",
     """SELECT l_returnflag, l_linestatus, count(*) AS n,
               CAST(grouping(l_returnflag) AS BIGINT) AS g
        FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)""",

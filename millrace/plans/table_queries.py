@@ -18,14 +18,15 @@ from millrace.names import quote
 from millrace.operators.export import CSV_WRITE, csv_text, export_csv
 from millrace.operators.ordering import Asc, Desc
 from millrace.operators.preview import describe, page
+from millrace.operators.sketches import estimates, merge, summarise
 from millrace.operators.stored_pages import stored_page, stored_total
 from millrace.plans import dag
 from millrace.plans.sources import table
 from millrace.plans.workbooks import workbook
-from millrace.session import tune, workspace
+from millrace.session import store, tune, workspace
 from millrace.sources import csv as csv_source
 from millrace.sources import excel, preprocess
-from millrace.streaming.ingest import ingest_csv
+from millrace.streaming.ingest import ingest_csv, ingest_files
 
 FRAMES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -131,6 +132,28 @@ def csv_preamble(spark, sf):
     return csv_source.read_csv(spark, _noted_files(spark, table(spark, sf, "orders")))
 
 
+@checked(
+    "csv_crlf_cells",
+    """SELECT c_custkey, c_name || chr(13) || chr(10) || c_mktsegment AS c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey,
+              c_acctbal FROM customer""",
+)
+def csv_crlf_cells(spark, sf):
+    """Files whose lines end in CRLF, with the same inside cells: there it stays."""
+    both = F.concat("c_name", F.lit("\r\n"), "c_mktsegment").alias("c_name")
+    text = csv_text(table(spark, sf, "customer").select("c_custkey", both, "c_nationkey", "c_acctbal"))
+    options = {k: v for k, v in CSV_WRITE.items() if k != "header"} | {"quoteAll": "true"}
+    lines = text.select(F.concat(F.to_csv(F.struct(*text.columns), options), F.lit("\r")).alias("value"))
+    head = ",".join(text.columns) + "\r"
+
+    def with_header(batches):
+        yield pd.DataFrame({"value": [head]})
+        yield from batches
+
+    path = workspace(spark, "crlf")
+    lines.mapInPandas(with_header, "value string").write.text(path)
+    return csv_source.read_csv(spark, path)
+
+
 LONG_NOTES = tuple(f"note {i}" + ", and more" * (i * 7 % 5) + ' as "told"' * (i % 3) for i in range(60))
 
 
@@ -277,6 +300,54 @@ def ingest_available_now(spark, sf):
     return ingested
 
 
+@checked("ingest_mixed_files", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders")
+def ingest_mixed_files(spark, sf):
+    """Orders that arrive in files of three forms, with their columns in different orders, in three runs."""
+    orders, root = table(spark, sf, "orders"), workspace(spark, "arrivals")
+    schema = ", ".join(f"{quote(n)} {t}" for n, t in orders.dtypes)
+    status = F.col("o_orderstatus")
+    named = [s for s, *_ in STATUS_FORMATS if s]
+    taken = None
+    for at, (value, sep, encoding, _) in enumerate(STATUS_FORMATS):
+        part = orders.where(status == value if value else status.isNull() | ~status.isin(*named))
+        turned = part.select(*orders.columns[at:], *orders.columns[:at])
+        options = CSV_WRITE | {"sep": sep, "encoding": encoding}
+        csv_text(turned).write.mode("append").options(**options).csv(f"{root}/drops")
+        taken = ingest_files(spark, f"{root}/drops", f"{root}/table", f"{root}/progress", schema)
+    return taken
+
+
+# --- stored sketches -----------------------------------------------------------------
+
+
+@checked(
+    "sketches_merged",
+    """SELECT event_type, count(*) AS n_rows, TRUE AS people_ok, TRUE AS median_ok, TRUE AS p90_ok
+       FROM events GROUP BY event_type""",
+)
+def sketches_merged(spark, sf):
+    """Sketches stored per day and type, merged to types; each answer is held against the rows."""
+    events = table(spark, sf, "events").select("event_type", F.to_date("ts").alias("day"), "user_id", "value")
+    kept = store(summarise(events, ["day", "event_type"], ["user_id"], ["value"]), "sketches")
+    ask = {"median": ("value", 0.5), "p90": ("value", 0.9)}
+    found = estimates(merge(kept, ["event_type"]), {"people": "user_id"}, ask)
+    told = found.select(F.col("event_type").alias("of_type"), F.col("rows").alias("n_rows"), "people", *ask)
+    checks = [F.count_distinct("user_id").alias("exact"), F.count("value").alias("n")]
+    for name in ask:
+        checks.append(F.count_if(F.col("value") < F.col(name)).alias(f"{name}_below"))
+        checks.append(F.count_if(F.col("value") <= F.col(name)).alias(f"{name}_upto"))
+    met = events.join(told, F.col("event_type").eqNullSafe(F.col("of_type")), "left")
+    per = met.groupBy("event_type", "n_rows", "people", *ask).agg(*checks)
+    ok = [
+        (
+            (F.col(f"{n}_below") <= (share + 0.03) * F.col("n")) & (F.col(f"{n}_upto") >= (share - 0.03) * F.col("n"))
+        ).alias(f"{n}_ok")
+        for n, (_, share) in ask.items()
+    ]
+    people = (F.abs(F.col("people") - F.col("exact")) <= 0.08 * F.col("exact")).alias("people_ok")
+    return per.select("event_type", "n_rows", people, *ok)
+
+
 # --- graphs of nodes -----------------------------------------------------------------
 
 

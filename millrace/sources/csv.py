@@ -1,10 +1,10 @@
 """CSV files to typed tables: profile, text preview, typed read.
 
 All files under a path are handled as one job. A file that Spark's own reader parses as it
-stands goes through it, split by byte ranges. A file with lines ahead of its header, or a
-large one with line breaks in quoted cells (which Spark's reader gives to a single task), is
+stands goes through it, split by byte ranges. A file with lines ahead of its header, or with
+line breaks in quoted cells (which Spark's reader gives to a single task, and changes), is
 read as numbered lines that are put together to records first (``sources/lines.py``), so
-it too is read by many tasks.
+it too is read by many tasks. Which way a file is read does not depend on its size.
 """
 
 from __future__ import annotations
@@ -34,9 +34,6 @@ from millrace.sources.lines import records, text_lines
 
 PREVIEW_LIMIT = 100
 
-# Up to this size a file with line breaks in quoted cells is parsed whole by one task.
-WHOLE_FILE_BYTES = 64 * 1024 * 1024
-
 HEAD_SCHEMA = (
     "path string, sep string, n_cols int, skip_rows int, has_header boolean, "
     "first_cells array<string>, settled boolean"
@@ -225,19 +222,13 @@ class _Group:
     skip_rows: int
     multiline: bool
     bom: bool
-    large: bool
     first: tuple[str, ...]
     one_first_row: bool
     files: int
     settled: bool = True
 
 
-_KEYS = ["encoding", "sep", "n_cols", "skip_rows", "multiline", "bom", "large"]
-
-
-def _sized(profile: DataFrame) -> DataFrame:
-    large = F.col("multiline") & (F.col("n_bytes") > WHOLE_FILE_BYTES)
-    return profile.withColumn("large", large)
+_KEYS = ["encoding", "sep", "n_cols", "skip_rows", "multiline", "bom"]
 
 
 def _groups(profile: DataFrame, dialect: Dialect) -> list[_Group]:
@@ -245,8 +236,7 @@ def _groups(profile: DataFrame, dialect: Dialect) -> list[_Group]:
         if getattr(dialect, field) is not None:
             profile = profile.withColumn(field, F.lit(getattr(dialect, field)))
     rows = (
-        _sized(profile)
-        .groupBy(*_KEYS)
+        profile.groupBy(*_KEYS)
         .agg(
             F.min("first_cells").alias("lo"),
             F.max("first_cells").alias("hi"),
@@ -295,7 +285,6 @@ def _read_plain(spark, paths, group: _Group, header: bool) -> DataFrame:
     df = (
         spark.read.schema(_text_schema(group.n_cols))
         .options(**_csv_options(group.sep), encoding=charset_name, header=header)
-        .option("multiLine", group.multiline)
         .csv(paths)
     )
     # Folder names like key=value would add columns the files do not have.
@@ -396,7 +385,7 @@ def read_csv(
 
 def _read_known(spark, path, dialect: Dialect, schema: str) -> DataFrame:
     fields = spark.createDataFrame([], schema).schema.fields
-    group = _Group(dialect.encoding, dialect.sep, len(fields), 0, False, False, False, (), True, 0)
+    group = _Group(dialect.encoding, dialect.sep, len(fields), 0, False, False, (), True, 0)
     text = _blank_as_null(_read_plain(spark, path, group, dialect.header))
     kinds = [f.dataType.simpleString() for f in fields]
     return infer.cast_all(text, kinds).toDF(*[f.name for f in fields])
@@ -433,11 +422,10 @@ def read_csv_lines(
         for field in ("encoding", "skip_rows", "multiline"):
             if getattr(dialect, field) is not None:
                 mine = mine.withColumn(field, F.lit(getattr(dialect, field)))
-        mine = _sized(mine)
         for k in _KEYS:
             mine = mine.where(F.col(k) == F.lit(getattr(g, k)))
         own = lines.join(mine.select("path"), "path", "left_semi")
-        plainly = plain_path and not (g.skip_rows or g.large)
+        plainly = plain_path and not (g.skip_rows or g.multiline)
         # Paths only, as many as Spark lists on the driver for any read.
         files = [unquote(r["path"]) for r in mine.select("path").collect()] if plainly else None
         located.append((g, files, own))
@@ -447,7 +435,7 @@ def read_csv_lines(
     def read_rows(header: bool) -> DataFrame:
         frames = []
         for g, files, own_lines in located:
-            if g.skip_rows or g.large or not files or (g.bom and not header):
+            if g.skip_rows or g.multiline or not files or (g.bom and not header):
                 if g not in kept:
                     kept[g] = _records(own_lines, g)
                 frames.append(_read_records(kept[g], g, header))

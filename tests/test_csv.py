@@ -124,9 +124,22 @@ TRICKY = (
 )
 
 
-@pytest.mark.parametrize("whole_file_bytes", [C.WHOLE_FILE_BYTES, 0])
-def test_quoted_line_breaks(spark, tmp_path, monkeypatch, whole_file_bytes):
-    monkeypatch.setattr(C, "WHOLE_FILE_BYTES", whole_file_bytes)
+@pytest.fixture(params=["128MB", "64b"])
+def blocks(spark, request):
+    """Files in one block, and in many."""
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", request.param)
+    yield request.param
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_line_breaks_in_cells_stay_as_they_are(spark, tmp_path, blocks):
+    text = 'n,note\r\n1,"a\r\nb"\r\n2,"c\nd"\r\n3,"e\r\n\r\nf"\r\n4,g\r\n'
+    got = C.read_csv(spark, put(tmp_path, "crlf.csv", text)).collect()
+    assert {r["n"]: r["note"] for r in got} == {1: "a\r\nb", 2: "c\nd", 3: "e\r\n\r\nf", 4: "g"}
+
+
+def test_quoted_line_breaks(spark, tmp_path, blocks):
     df = C.read_csv(spark, put(tmp_path, "m.csv", TRICKY))
     got = {r["id"]: r["note"] for r in df.collect()}
     assert got == {
@@ -136,10 +149,8 @@ def test_quoted_line_breaks(spark, tmp_path, monkeypatch, whole_file_bytes):
     assert df.dtypes == [("id", "bigint"), ("note", "string"), ("n", "bigint")]
 
 
-@pytest.mark.parametrize("whole_file_bytes", [C.WHOLE_FILE_BYTES, 0])
-def test_blank_lines_and_inner_marks(spark, tmp_path, monkeypatch, whole_file_bytes):
+def test_blank_lines_and_inner_marks(spark, tmp_path, blocks):
     """Lines of blanks are rows and inner byte order marks are text, however large the file is."""
-    monkeypatch.setattr(C, "WHOLE_FILE_BYTES", whole_file_bytes)
     text = 'word,n\n"a\nb",1\n  ,\n﻿x,2\n\ny,3\n'
     got = C.read_csv(spark, put(tmp_path, "blank.csv", text)).collect()
     assert sorted((r["word"], r["n"] or 0) for r in got) == sorted(
