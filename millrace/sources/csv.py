@@ -2,9 +2,10 @@
 
 All files under a path are handled as one job. A file that Spark's own reader parses as it
 stands goes through it, split by byte ranges. A file with lines ahead of its header, or with
-line breaks in quoted cells (which Spark's reader gives to a single task, and changes), is
-read as numbered lines that are put together to records first (``sources/lines.py``), so
-it too is read by many tasks. Which way a file is read does not depend on its size.
+line breaks in quoted cells that is large (Spark's reader gives it to a single task) or holds a
+carriage return (which Spark's reader takes out of cells), is read as numbered lines that are
+put together to records first (``sources/lines.py``), so it too is read by many tasks. Both
+ways give the same rows.
 """
 
 from __future__ import annotations
@@ -34,6 +35,9 @@ from millrace.sources.lines import records, text_lines
 
 PREVIEW_LIMIT = 100
 
+# Up to this size a file with line breaks in quoted cells and no carriage return is parsed whole by one task.
+WHOLE_FILE_BYTES = 64 * 1024 * 1024
+
 HEAD_SCHEMA = (
     "path string, sep string, n_cols int, skip_rows int, has_header boolean, "
     "first_cells array<string>, settled boolean"
@@ -72,13 +76,14 @@ def _file_facts(lines: DataFrame) -> DataFrame:
         F.min_by(F.hex(F.substring(raw.cast("binary"), 1, 3)) == "EFBBBF", first_line).alias("bom"),
         F.count(F.lit(1)).alias("n_lines"),
         F.sum(F.octet_length(raw) + 1).alias("n_bytes"),
+        F.bool_or(F.contains(raw, F.lit("\r"))).alias("carriage"),
     )
     encoding = (
         F.when(F.col("__utf8"), charset.UTF8)
         .when(~F.col("__undefined"), charset.CP1252)
         .otherwise(charset.LATIN1)
     )
-    kept = ["multiline", "bom", "n_lines", "n_bytes"]
+    kept = ["multiline", "bom", "n_lines", "n_bytes", "carriage"]
     return facts.select("path", encoding.alias("encoding"), *kept)
 
 
@@ -159,7 +164,7 @@ def profile_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
     found = store(profile_lines(lines), "profile")
     if not found.where("NOT settled").isEmpty():
         found = _deepened(lines, found, None)
-    return found.drop("settled")
+    return found.drop("settled", "carriage")
 
 
 def preview_lines(
@@ -222,13 +227,19 @@ class _Group:
     skip_rows: int
     multiline: bool
     bom: bool
+    by_lines: bool
     first: tuple[str, ...]
     one_first_row: bool
     files: int
     settled: bool = True
 
 
-_KEYS = ["encoding", "sep", "n_cols", "skip_rows", "multiline", "bom"]
+_KEYS = ["encoding", "sep", "n_cols", "skip_rows", "multiline", "bom", "by_lines"]
+
+
+def _with_way(profile: DataFrame) -> DataFrame:
+    by_lines = F.col("multiline") & (F.col("carriage") | (F.col("n_bytes") > WHOLE_FILE_BYTES))
+    return profile.withColumn("by_lines", by_lines)
 
 
 def _groups(profile: DataFrame, dialect: Dialect) -> list[_Group]:
@@ -236,7 +247,8 @@ def _groups(profile: DataFrame, dialect: Dialect) -> list[_Group]:
         if getattr(dialect, field) is not None:
             profile = profile.withColumn(field, F.lit(getattr(dialect, field)))
     rows = (
-        profile.groupBy(*_KEYS)
+        _with_way(profile)
+        .groupBy(*_KEYS)
         .agg(
             F.min("first_cells").alias("lo"),
             F.max("first_cells").alias("hi"),
@@ -285,6 +297,7 @@ def _read_plain(spark, paths, group: _Group, header: bool) -> DataFrame:
     df = (
         spark.read.schema(_text_schema(group.n_cols))
         .options(**_csv_options(group.sep), encoding=charset_name, header=header)
+        .option("multiLine", group.multiline)
         .csv(paths)
     )
     # Folder names like key=value would add columns the files do not have.
@@ -385,7 +398,7 @@ def read_csv(
 
 def _read_known(spark, path, dialect: Dialect, schema: str) -> DataFrame:
     fields = spark.createDataFrame([], schema).schema.fields
-    group = _Group(dialect.encoding, dialect.sep, len(fields), 0, False, False, (), True, 0)
+    group = _Group(dialect.encoding, dialect.sep, len(fields), 0, False, False, False, (), True, 0)
     text = _blank_as_null(_read_plain(spark, path, group, dialect.header))
     kinds = [f.dataType.simpleString() for f in fields]
     return infer.cast_all(text, kinds).toDF(*[f.name for f in fields])
@@ -422,10 +435,11 @@ def read_csv_lines(
         for field in ("encoding", "skip_rows", "multiline"):
             if getattr(dialect, field) is not None:
                 mine = mine.withColumn(field, F.lit(getattr(dialect, field)))
+        mine = _with_way(mine)
         for k in _KEYS:
             mine = mine.where(F.col(k) == F.lit(getattr(g, k)))
         own = lines.join(mine.select("path"), "path", "left_semi")
-        plainly = plain_path and not (g.skip_rows or g.multiline)
+        plainly = plain_path and not (g.skip_rows or g.by_lines)
         # Paths only, as many as Spark lists on the driver for any read.
         files = [unquote(r["path"]) for r in mine.select("path").collect()] if plainly else None
         located.append((g, files, own))
@@ -435,7 +449,7 @@ def read_csv_lines(
     def read_rows(header: bool) -> DataFrame:
         frames = []
         for g, files, own_lines in located:
-            if g.skip_rows or g.multiline or not files or (g.bom and not header):
+            if g.skip_rows or g.by_lines or not files or (g.bom and not header):
                 if g not in kept:
                     kept[g] = _records(own_lines, g)
                 frames.append(_read_records(kept[g], g, header))

@@ -124,11 +124,13 @@ TRICKY = (
 )
 
 
-@pytest.fixture(params=["128MB", "64b"])
-def blocks(spark, request):
-    """Files in one block, and in many."""
+@pytest.fixture(params=["whole", "128MB", "64b"])
+def blocks(spark, request, monkeypatch):
+    """Small files as they are read, and the same as if they were large, in one block and in many."""
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", request.param)
+    if request.param != "whole":
+        monkeypatch.setattr(C, "WHOLE_FILE_BYTES", 0)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", request.param)
     yield request.param
     spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
