@@ -1,14 +1,16 @@
 """Quality rules with adaptive limits, on DataFrame functions alone.
 
-Each document statistic is put into a histogram of integer buckets, 32 to each power of two. Such a
-histogram is a quantile sketch: a value read from it is off by at most 1/32, its size does not grow
+Each document statistic is put into a histogram of integer buckets, 128 to each power of two. Such a
+histogram is a quantile sketch: a value read from it is off by at most 1/128, its size does not grow
 with the rows, and two are merged by adding counts, in any order and with the same result. One is kept
 per language and source; those with few documents are merged into their language's, and those into one
-of all. A document is then joined with the limits its group's quartiles give.
+of all. A document is then joined with the limits its group's quantiles give.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,15 +18,31 @@ from pyspark.sql.window import Window
 from millrace.llm.common import WORD, fresh, quoted
 from millrace.session import store
 
-#: Statistic -> (least spread of its quartiles, whether low values are judged too), per thousand.
+
+
+class Limit(NamedTuple):
+    """Between the quantiles ``lower`` and ``upper`` (percent) of a group lies its spread, at least one
+    bucket. Values up to ``reach`` spreads above the upper one are kept, and in any case those up to
+    ``least``; with ``both`` values more than ``reach`` spreads below the lower one are not."""
+
+    lower: int
+    upper: int
+    reach: int
+    least: int = 0
+    both: bool = False
+
+
+#: Characters per thousand words, symbols and repeated words per million words, repeated lines per million lines.
+#: Most documents have few symbols and repeats, so their upper quantiles are further out. ``least`` is a
+#: tenth: it decides only in groups nearly all of whose documents have none.
 STATISTICS = {
-    "word_length": (350, True),  # characters per thousand words
-    "symbol_rate": (25, False),
-    "line_rate": (25, False),
-    "repeat_rate": (50, False),
+    "word_length": Limit(25, 75, reach=5, both=True),
+    "symbol_rate": Limit(50, 90, reach=4, least=100_000),
+    "line_rate": Limit(50, 99, reach=1, least=100_000),
+    "repeat_rate": Limit(50, 95, reach=6, least=100_000),
 }
-#: How many spreads beyond the quartiles a value may lie.
-REACH = 4
+#: Binary digits of a value that its bucket keeps.
+DIGITS = 8
 #: With fewer documents a group takes its language's limits, and a language those of all.
 LEAST_DOCS = 200
 SYMBOLS = "[#*$%&|<>]"
@@ -36,9 +54,11 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _dup_lines(text: Column) -> Column:
+def _lines(text: Column) -> Column:
+    """How many lines have a word, and how many of them equal an earlier one."""
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(WORD))
-    return let(lines, lambda a: F.size(a) - F.size(F.array_distinct(a)))
+    counted = lambda a: F.struct(F.size(a).alias("n"), (F.size(a) - F.size(F.array_distinct(a))).alias("dup"))
+    return let(lines, counted)
 
 
 def _repeat_words(words: Column, n: Column) -> Column:
@@ -86,36 +106,43 @@ def measure(docs: DataFrame, prefix: str = "") -> DataFrame:
     # One expression, in which the words are split off once; the optimizer may move it but not unfold it.
     def all_of(w: Column) -> Column:
         n = F.size(w)
+        return let(_lines(text), lambda lines: numbers(w, n, lines))
+
+    def numbers(w: Column, n: Column, lines: Column) -> Column:
         named = {
             "n_words": n,
             "word_chars": F.aggregate(w, F.lit(0).cast("long"), lambda a, x: a + F.length(x)),
             "n_symbols": F.length(text) - F.length(F.translate(text, "#*$%&|<>", "")),
-            "n_dup_lines": _dup_lines(text),
+            "n_dup_lines": lines["dup"],
             "n_repeat_words": _repeat_words(w, n),
+            "n_lines": lines["n"],
         }
         return F.struct(*[v.cast("long").alias(k) for k, v in named.items()])
 
     (stats,) = fresh(docs, "statistics_of_text")
     words = F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))
     split = docs.withColumn(stats, let(words, all_of))
-    counted = split.withColumns({prefix + k: quoted(stats)[k] for k in MEASURES}).drop(stats)
-    c = {k: quoted(prefix + k) for k in MEASURES}
-    rate = lambda x: F.floor(x * 1000 / F.greatest(c["n_words"], F.lit(1))).cast("long")
+    counted = split.withColumns({prefix + k: quoted(stats)[k] for k in (*MEASURES, "n_lines")}).drop(stats)
+    c = {k: quoted(prefix + k) for k in (*MEASURES, "n_lines")}
+
+    def rate(x: str, per: str, scale: int) -> Column:
+        return F.call_function("div", c[x] * scale, F.greatest(c[per], F.lit(1).cast("long")))
+
     return counted.withColumns(
         {
             prefix + "base_failed": (c["n_words"] < 50) | (100 * c["n_repeat_words"] > 50 * c["n_words"]),
-            prefix + "word_length": rate(c["word_chars"]),
-            prefix + "symbol_rate": rate(c["n_symbols"]),
-            prefix + "line_rate": rate(c["n_dup_lines"]),
-            prefix + "repeat_rate": rate(c["n_repeat_words"]),
+            prefix + "word_length": rate("word_chars", "n_words", 1_000),
+            prefix + "symbol_rate": rate("n_symbols", "n_words", 1_000_000),
+            prefix + "line_rate": rate("n_dup_lines", "n_lines", 1_000_000),
+            prefix + "repeat_rate": rate("n_repeat_words", "n_words", 1_000_000),
         }
     )
 
 
 def bucket(value: Column) -> Column:
-    """The least number of the bucket of a whole number >= 0: its first six binary digits, then zeros."""
+    """The least number of the bucket of a whole number >= 0: its first binary digits, then zeros."""
     digits = F.length(F.bin(value))
-    drop = F.greatest(digits - 6, F.lit(0))
+    drop = F.greatest(digits - DIGITS, F.lit(0))
     return F.call_function("shiftleft", F.call_function("shiftright", value, drop), drop)
 
 
@@ -148,26 +175,23 @@ def sketches(measured: DataFrame, prefix: str = "") -> DataFrame:
     )
 
 
-def limits(sketch: DataFrame, reach: int = REACH) -> DataFrame:
-    """A row per level, language and source with ``low_*`` and ``high_*`` of every statistic, and ``n``.
-
-    From the quartiles a and b of a statistic (bucket starts) a value may be ``reach`` times
-    max(b - a, the statistic's least spread) above b, and below a where low values are judged.
-    """
+def limits(sketch: DataFrame) -> DataFrame:
+    """A row per level, language and source with ``low_*`` and ``high_*`` of every statistic, and ``n``:
+    what ``STATISTICS`` says of the group's quantiles (bucket starts)."""
     keys = ["level", "lang", "source", "statistic"]
     window = Window.partitionBy(*keys)
     running = F.sum("n").over(window.orderBy("bucket"))
     ranked = sketch.withColumn("upto", running).withColumn("all", F.sum("n").over(window))
-    quartile = lambda q: F.min(F.when(F.col("upto") * 4 >= F.col("all") * q, F.col("bucket")))
-    per = ranked.groupBy(*keys).agg(
-        quartile(1).alias("a"), quartile(3).alias("b"), F.max("all").alias("n")
-    )
+    wanted = sorted({q for s in STATISTICS.values() for q in (s.lower, s.upper)})
+    quantile = lambda q: F.min(F.when(F.col("upto") * 100 >= F.col("all") * q, F.col("bucket")))
+    per = ranked.groupBy(*keys).agg(F.max("all").alias("n"), *[quantile(q).alias(f"q{q}") for q in wanted])
     out = []
-    for s, (least, both) in STATISTICS.items():
-        pick = lambda c, s=s: F.max(F.when(F.col("statistic") == s, F.col(c)))
-        spread = F.greatest(pick("b") - pick("a"), F.lit(least)) * reach
-        out.append((pick("b") + spread).alias("high_" + s))
-        out.append((pick("a") - spread if both else F.lit(0).cast("long")).alias("low_" + s))
+    for name, limit in STATISTICS.items():
+        own = lambda q, name=name: F.max(F.when(F.col("statistic") == name, F.col(f"q{q}")))
+        low, high = own(limit.lower), own(limit.upper)
+        spread = F.greatest(high - low, F.shiftright(high, DIGITS - 1)) * limit.reach
+        out.append(F.greatest(high + spread, F.lit(limit.least).cast("long")).alias("high_" + name))
+        out.append((low - spread if limit.both else F.lit(0).cast("long")).alias("low_" + name))
     return per.groupBy("level", "lang", "source").agg(F.max("n").alias("n"), *out)
 
 
@@ -231,11 +255,13 @@ def ruled(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that pass, with its own columns. The texts are measured twice instead of stored."""
+    """The rows of ``docs`` that pass, with its own columns. The texts are stored with their numbers, so
+    they are measured once. Nulls, repeated rows and empty tables as in ``ruled``; very long texts are
+    measured whole, and columns of any other name are kept as they are."""
     kept, prefix = fresh(docs, "rule_kept", "rule_")
     while any(c.lower().startswith(prefix.lower()) for c in docs.columns):
         prefix += "_"
-    measured = measure(docs, prefix)
+    measured = store(measure(docs, prefix), "measured-texts")
     judged = judge(measured, group_limits(measured, prefix), kept, prefix)
     return judged.filter(quoted(kept)).select(*[quoted(c) for c in docs.columns])
 
@@ -255,20 +281,24 @@ m AS (SELECT d.doc_id, lang, source, len(w)::BIGINT AS n_words,
   coalesce(n_repeat_words, 0) AS n_repeat_words FROM d LEFT JOIN cover USING (doc_id)),
 r AS (SELECT *, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines FROM m),
 s AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-  word_chars * 1000 // greatest(n_words, 1) AS word_length, n_symbols * 1000 // greatest(n_words, 1) AS symbol_rate,
-  n_dup_lines * 1000 // greatest(n_words, 1) AS line_rate, n_repeat_words * 1000 // greatest(n_words, 1) AS repeat_rate FROM r),
+  word_chars * 1000 // greatest(n_words, 1) AS word_length, n_symbols * 1000000 // greatest(n_words, 1) AS symbol_rate,
+  n_dup_lines * 1000000 // greatest(len(lines), 1) AS line_rate,
+  n_repeat_words * 1000000 // greatest(n_words, 1) AS repeat_rate FROM r),
 e AS (UNPIVOT (SELECT doc_id, lang, source, word_length, symbol_rate, line_rate, repeat_rate FROM s WHERE NOT base_failed)
   ON word_length, symbol_rate, line_rate, repeat_rate INTO NAME statistic VALUE v),
-b AS (SELECT *, (v >> greatest(length(bin(v)) - 6, 0)) << greatest(length(bin(v)) - 6, 0) AS bucket FROM e),
+b AS (SELECT *, (v >> greatest(length(bin(v)) - 8, 0)) << greatest(length(bin(v)) - 8, 0) AS bucket FROM e),
 g AS (SELECT 2 AS level, lang, source, statistic, bucket, count(*) AS n FROM b GROUP BY ALL
   UNION ALL SELECT 1, lang, NULL, statistic, bucket, count(*) FROM b GROUP BY ALL
   UNION ALL SELECT 0, NULL, NULL, statistic, bucket, count(*) FROM b GROUP BY ALL),
 q AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, statistic ORDER BY bucket) AS upto,
   sum(n) OVER (PARTITION BY level, lang, source, statistic) AS every FROM g),
-f AS (SELECT level, lang, source, statistic, max(every) AS n, min(bucket) FILTER (WHERE upto * 4 >= every) AS a,
-  min(bucket) FILTER (WHERE upto * 4 >= every * 3) AS b FROM q GROUP BY ALL),
-h AS (SELECT *, 4 * greatest(b - a, CASE statistic WHEN 'word_length' THEN 350 WHEN 'repeat_rate' THEN 50 ELSE 25 END) AS spread FROM f),
-z AS (SELECT level, lang, source, statistic, n, b + spread AS hi, CASE statistic WHEN 'word_length' THEN a - spread ELSE 0 END AS lo FROM h),
+p(statistic, lower_q, upper_q, reach, least, two_sided) AS (VALUES ('word_length', 25, 75, 5, 0, true),
+  ('symbol_rate', 50, 90, 4, 100000, false), ('line_rate', 50, 99, 1, 100000, false), ('repeat_rate', 50, 95, 6, 100000, false)),
+f AS (SELECT level, lang, source, statistic, reach, least, two_sided, min(bucket) FILTER (WHERE upto * 100 >= every * lower_q) AS a,
+  min(bucket) FILTER (WHERE upto * 100 >= every * upper_q) AS b FROM q JOIN p USING (statistic) GROUP BY ALL),
+h AS (SELECT *, reach * greatest(b - a, b >> 7) AS spread FROM f),
+z AS (SELECT level, lang, source, statistic, greatest(b + spread, least) AS hi,
+  CASE WHEN two_sided THEN a - spread ELSE 0 END AS lo FROM h),
 k AS (SELECT s.*, (SELECT bool_and(CASE z.statistic WHEN 'word_length' THEN word_length WHEN 'symbol_rate' THEN symbol_rate
     WHEN 'line_rate' THEN line_rate ELSE repeat_rate END BETWEEN z.lo AND z.hi) FROM z
     WHERE z.level = CASE WHEN n2 >= 200 THEN 2 WHEN n1 >= 200 THEN 1 ELSE 0 END

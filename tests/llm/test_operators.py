@@ -28,6 +28,7 @@ from millrace.llm import (
     warc,
 )
 from millrace.llm.common import table
+from millrace.session import store
 
 ODD = [
     (1, "", "en", "a"),
@@ -446,4 +447,47 @@ def test_rules_adapt(spark):
 
 def test_sketch_is_close(spark):
     values = spark.range(0, 100000).selectExpr("id AS v").withColumn("b", quality_rules.bucket(F.col("v")))
-    assert values.filter("b > v OR v - b > v / 32").count() == 0
+    assert values.filter("b > v OR v - b > v / 128").count() == 0
+
+
+def lined(i, lines, copies, more=0):
+    """``lines`` lines of own words and ``copies`` equal ones, of ten words with ``more`` letters each."""
+    of = lambda tag: " ".join(f"w{i}{tag}x{j}{'y' * more}" for j in range(10))
+    return "\n".join([of(f"l{k}") for k in range(lines)] + [of("same")] * copies)
+
+
+def test_rules_limits_follow_groups(spark):
+    rng = np.random.default_rng(11)
+    rows = []
+    # Two sources that differ in repeated lines and in word lengths, and one too small for limits of its own.
+    for source, most, letters, size in (("forms", 5, 6, 300), ("prose", 2, 0, 300), ("few", 2, 0, 20)):
+        for _ in range(size):
+            i = len(rows)
+            rows.append((i, lined(i, 20, int(rng.integers(0, most)), letters + int(rng.integers(0, 3))), "en", source))
+    odd_ones = {s: len(rows) + k for k, s in enumerate(("forms", "prose", "few"))}
+    for s, i in odd_ones.items():
+        rows.append((i, lined(i, 20, 5, 7 if s == "forms" else 1), "en", s))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    measured = store(quality_rules.measure(docs), "measured")
+    found = {r["source"]: r["limits"] for r in quality_rules.group_limits(measured).collect()}
+    everyone = measured.toPandas()
+    everyone = everyone[~everyone["base_failed"]]
+
+    def start(v):
+        drop = max(len(bin(v)) - 2 - quality_rules.DIGITS, 0)
+        return v >> drop << drop
+
+    for source, limits in found.items():
+        own = everyone if source == "few" else everyone[everyone["source"] == source]
+        for name, rule in quality_rules.STATISTICS.items():
+            ranked = sorted(map(start, map(int, own[name])))
+            low, high = (ranked[-(-len(ranked) * q // 100) - 1] for q in (rule.lower, rule.upper))
+            spread = rule.reach * max(high - low, high >> quality_rules.DIGITS - 1)
+            assert limits["high_" + name] == max(high + spread, rule.least)
+            assert limits["low_" + name] == (low - spread if rule.both else 0)
+    assert found["forms"]["high_line_rate"] > found["prose"]["high_line_rate"]
+    assert found["forms"]["high_word_length"] != found["prose"]["high_word_length"]
+    kept = {r["doc_id"]: r["kept"] for r in quality_rules.ruled(docs).collect()}
+    assert kept[odd_ones["forms"]] and not kept[odd_ones["prose"]]
+    usual = [i for i in range(620) if kept[i]]
+    assert len(usual) >= 0.99 * 620
