@@ -10,7 +10,6 @@ ways give the same rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import groupby
 from urllib.parse import unquote
@@ -30,7 +29,8 @@ from millrace.functions.dialect import (
 )
 from millrace.names import dedupe, default_names
 from millrace.session import store
-from millrace.sources import even_runs
+from millrace.sources import even_runs, heads
+from millrace.sources.heads import Tops
 from millrace.sources.lines import records, text_lines
 
 PREVIEW_LIMIT = 100
@@ -87,42 +87,23 @@ def _file_facts(lines: DataFrame) -> DataFrame:
     return facts.select("path", encoding.alias("encoding"), *kept)
 
 
-def _first_block_runs(batches: Iterator[pd.DataFrame]):
-    """(path, lines) per file. A task gets the lines of a file's first block in order."""
-    pairs = ((p, v) for pdf in batches for p, v in zip(pdf["path"], pdf["value"]))
-    for path, run in groupby(pairs, key=lambda pair: pair[0]):
-        yield path, (bytes(v) for _, v in run)
-
+def _heads(tops: Tops, sep: str | None, expected) -> DataFrame:
+    def describe(path, lines):
+        taken, size, whole = [], 0, True
+        for line in lines:
+            if size >= SAMPLE_CHARS and len(taken) > SAMPLE_ROWS:
+                whole = False
+                break
+            taken.append(line)
+            size += len(line) + 1
+        found = describe_head(decode_head(b"\n".join(taken)), sep, whole, expected)
+        return pd.DataFrame([{"path": path, **found}])
 
-def _first_blocks(lines: DataFrame, in_order: bool) -> DataFrame:
-    """Lines of the first block of each file, in order within one task. Lines read from a
-    text file are so already; stored lines have to be brought together."""
-    top = lines.where("block = 0")
-    if not in_order:
-        top = top.repartition("path").sortWithinPartitions("path", "pos")
-    return top.select("path", F.col("value").cast("binary").alias("value"))
+    return tops.each(describe, HEAD_SCHEMA)
 
 
-def _heads(lines: DataFrame, sep: str | None, expected, in_order: bool) -> DataFrame:
-    def describe(batches):
-        for path, run in _first_block_runs(batches):
-            taken, size, whole = [], 0, True
-            for line in run:
-                if size >= SAMPLE_CHARS and len(taken) > SAMPLE_ROWS:
-                    whole = False
-                    break
-                taken.append(line)
-                size += len(line) + 1
-            found = describe_head(decode_head(b"\n".join(taken)), sep, whole, expected)
-            yield pd.DataFrame([{"path": path, **found}])
-
-    return _first_blocks(lines, in_order).mapInPandas(describe, HEAD_SCHEMA)
-
-
-def profile_lines(
-    lines: DataFrame, sep: str | None = None, expected=None, in_order: bool = True
-) -> DataFrame:
-    return _file_facts(lines).join(_heads(lines, sep, expected, in_order), "path")
+def profile_lines(lines: DataFrame, tops: Tops, sep: str | None = None, expected=None) -> DataFrame:
+    return _file_facts(lines).join(_heads(tops, sep, expected), "path")
 
 
 def _deepened(lines: DataFrame, profile: DataFrame, sep: str | None) -> DataFrame:
@@ -146,9 +127,9 @@ def _deepened(lines: DataFrame, profile: DataFrame, sep: str | None) -> DataFram
                 head = describe_head(decode_head(b"\n".join(taken)), known, False)
                 yield pd.DataFrame([{"path": path, **head, "skip_rows": head["skip_rows"] + skip, "settled": True}])
 
-    heads = top.mapInPandas(describe, HEAD_SCHEMA)
+    deep = top.mapInPandas(describe, HEAD_SCHEMA)
     names = [f.split()[0] for f in HEAD_SCHEMA.split(", ")][1:]
-    better = heads.select("path", *[F.col(n).alias(f"__{n}") for n in names])
+    better = deep.select("path", *[F.col(n).alias(f"__{n}") for n in names])
     merged = profile.join(store(better, "deep-heads"), "path", "left")
     for n in names:
         chosen = F.when(F.col("__settled"), F.col(f"__{n}")).otherwise(F.col(n))
@@ -161,15 +142,13 @@ def profile_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
     skip_rows, has_header, first_cells. Encoding and multiline come from the whole file, the
     delimiter from its first 4,096 characters, or from the whole file if they show no even table."""
     lines = text_lines(spark, path)
-    found = store(profile_lines(lines), "profile")
+    found = store(profile_lines(lines, heads.of_files(spark, path, lines)), "profile")
     if not found.where("NOT settled").isEmpty():
         found = _deepened(lines, found, None)
     return found.drop("settled", "carriage")
 
 
-def preview_lines(
-    lines: DataFrame, limit: int = PREVIEW_LIMIT, in_order: bool = True
-) -> DataFrame:
+def preview_tops(tops: Tops, limit: int = PREVIEW_LIMIT) -> DataFrame:
     if not 1 <= limit <= PREVIEW_LIMIT:
         raise ValueError(f"limit must be between 1 and {PREVIEW_LIMIT}")
 
@@ -191,27 +170,24 @@ def preview_lines(
         text = decode_head(b"\n".join(taken))
         return [row for row, _ in parse(text, choose_delimiter(text), limit + 2)]
 
-    def preview(batches):
-        for path, run in _first_block_runs(batches):
-            rows = rows_of(run)
-            yield pd.DataFrame(
-                {
-                    "path": path,
-                    "pos": range(min(len(rows), limit)),
-                    "cells": rows[:limit],
-                    "truncated": len(rows) > limit,
-                }
-            )
+    def preview(path, lines):
+        rows = rows_of(lines)
+        shown = {"path": path, "pos": range(min(len(rows), limit)), "cells": rows[:limit]}
+        return pd.DataFrame(shown | {"truncated": len(rows) > limit})
+
+    return tops.each(preview, PREVIEW_SCHEMA)
+
 
-    return _first_blocks(lines, in_order).mapInPandas(preview, PREVIEW_SCHEMA)
+def preview_lines(lines: DataFrame, limit: int = PREVIEW_LIMIT, in_order: bool = True) -> DataFrame:
+    return preview_tops(heads.of_lines(lines, in_order), limit)
 
 
 def preview_csv_text(
     spark: SparkSession, path: str | list[str], limit: int = PREVIEW_LIMIT
 ) -> DataFrame:
     """The first ``limit`` rows of each file as text cells of any width: path, pos, cells,
-    truncated. Nothing is skipped, typed or padded."""
-    return preview_lines(text_lines(spark, path), limit)
+    truncated. Nothing is skipped, typed or padded, and no more is read than that takes."""
+    return preview_tops(heads.of_files(spark, path, text_lines(spark, path)), limit)
 
 
 # --- typed read ------------------------------------------------------------------------
@@ -264,8 +240,8 @@ def _groups(profile: DataFrame, dialect: Dialect) -> list[_Group]:
     ]
 
 
-def _profiled(lines: DataFrame, dialect: Dialect, expected, in_order: bool) -> tuple[DataFrame, list[_Group]]:
-    profile = profile_lines(lines, dialect.sep, expected, in_order)
+def _profiled(lines: DataFrame, tops: Tops, dialect: Dialect, expected) -> tuple[DataFrame, list[_Group]]:
+    profile = profile_lines(lines, tops, dialect.sep, expected)
     groups = _groups(profile, dialect)
     if dialect.skip_rows is None and not all(g.settled for g in groups):
         profile = _deepened(lines, profile, dialect.sep)
@@ -414,14 +390,17 @@ def read_csv_lines(
     can be handed to Spark's CSV reader."""
     spark = lines.sparkSession
     dialect = dialect or Dialect()
-    in_order = plain_path is not None
-    profile, groups = _profiled(lines, dialect, None, in_order)
+    if plain_path is None:
+        tops = heads.of_lines(lines, False)
+    else:
+        tops = heads.of_files(spark, plain_path, lines)
+    profile, groups = _profiled(lines, tops, dialect, None)
     if len({g.first for g in groups}) > 1 or not all(g.one_first_row for g in groups):
         # Some heads may have been misread: see whether the commonest first rows are in them.
         shared = [g for g in groups if g.one_first_row]
         top = max((g.files for g in shared), default=0)
         expected = [(g.sep, list(g.first)) for g in shared if 2 * g.files > top]
-        profile, groups = _profiled(lines, dialect, expected, in_order)
+        profile, groups = _profiled(lines, tops, dialect, expected)
     widths = {g.n_cols for g in groups}
     if len(widths) > 1:
         raise ValueError(f"the files differ in their number of columns: {sorted(widths)}")
