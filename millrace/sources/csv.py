@@ -10,8 +10,9 @@ ways give the same rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import groupby
+from itertools import chain, groupby, islice
 from urllib.parse import unquote
 
 import pandas as pd
@@ -25,6 +26,7 @@ from millrace.functions.dialect import (
     choose_delimiter,
     decode_head,
     describe_head,
+    has_cells,
     parse,
 )
 from millrace.names import dedupe, default_names
@@ -40,7 +42,7 @@ WHOLE_FILE_BYTES = 64 * 1024 * 1024
 
 HEAD_SCHEMA = (
     "path string, sep string, n_cols int, skip_rows int, has_header boolean, "
-    "first_cells array<string>, settled boolean"
+    "first_cells array<string>, settled boolean, even boolean"
 )
 PREVIEW_SCHEMA = "path string, pos int, cells array<string>, truncated boolean"
 
@@ -97,11 +99,22 @@ def _heads(tops: Tops, sep: str | None, expected) -> DataFrame:
             taken.append(line)
             size += len(line) + 1
         found = describe_head(decode_head(b"\n".join(taken)), sep, whole, expected)
+        if expected and not found["even"]:
+            found = _further_down(chain(taken, lines if whole else chain([line], lines)), expected) or found
         return pd.DataFrame([{"path": path, **found}])
 
     return tops.each(describe, HEAD_SCHEMA)
 
 
+def _further_down(lines: Iterator[bytes], expected) -> dict | None:
+    """The head of a file whose notes are followed by a row other files of its folder begin with, at any depth."""
+    for at, line in enumerate(lines):
+        if any(has_cells(line, known, cells) for known, cells in expected):
+            found = describe_head(decode_head(b"\n".join([line, *islice(lines, SAMPLE_ROWS)])), None, False, expected)
+            return {**found, "skip_rows": found["skip_rows"] + at}
+    return None
+
+
 def profile_lines(lines: DataFrame, tops: Tops, sep: str | None = None, expected=None) -> DataFrame:
     return _file_facts(lines).join(_heads(tops, sep, expected), "path")
 
@@ -125,7 +138,7 @@ def _deepened(lines: DataFrame, profile: DataFrame, sep: str | None) -> DataFram
                     size += len(taken[-1]) + 1
             if taken:
                 head = describe_head(decode_head(b"\n".join(taken)), known, False)
-                yield pd.DataFrame([{"path": path, **head, "skip_rows": head["skip_rows"] + skip, "settled": True}])
+                yield pd.DataFrame([{"path": path, **head, "skip_rows": head["skip_rows"] + skip, "settled": True, "even": True}])
 
     deep = top.mapInPandas(describe, HEAD_SCHEMA)
     names = [f.split()[0] for f in HEAD_SCHEMA.split(", ")][1:]
@@ -145,7 +158,7 @@ def profile_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
     found = store(profile_lines(lines, heads.of_files(spark, path, lines)), "profile")
     if not found.where("NOT settled").isEmpty():
         found = _deepened(lines, found, None)
-    return found.drop("settled", "carriage")
+    return found.drop("settled", "even", "carriage")
 
 
 def preview_tops(tops: Tops, limit: int = PREVIEW_LIMIT) -> DataFrame:
@@ -208,6 +221,7 @@ class _Group:
     one_first_row: bool
     files: int
     settled: bool = True
+    even: bool = True
 
 
 _KEYS = ["encoding", "sep", "n_cols", "skip_rows", "multiline", "bom", "by_lines"]
@@ -230,13 +244,15 @@ def _groups(profile: DataFrame, dialect: Dialect) -> list[_Group]:
             F.max("first_cells").alias("hi"),
             F.count(F.lit(1)).alias("files"),
             F.bool_and("settled").alias("settled"),
+            F.bool_or("even").alias("even"),
         )
         .collect()
     )
     if not rows:
         raise FileNotFoundError("no CSV file with any line")
     return [
-        _Group(*[r[k] for k in _KEYS], tuple(r["lo"]), r["lo"] == r["hi"], r["files"], r["settled"]) for r in rows
+        _Group(*[r[k] for k in _KEYS], tuple(r["lo"]), r["lo"] == r["hi"], r["files"], r["settled"], r["even"])
+        for r in rows
     ]
 
 
@@ -397,7 +413,9 @@ def read_csv_lines(
     profile, groups = _profiled(lines, tops, dialect, None)
     if len({g.first for g in groups}) > 1 or not all(g.one_first_row for g in groups):
         # Some heads may have been misread: see whether the commonest first rows are in them.
+        # Files without an even table (notes and a header alone, say) do not tell what it looks like.
         shared = [g for g in groups if g.one_first_row]
+        shared = [g for g in shared if g.even] or shared
         top = max((g.files for g in shared), default=0)
         expected = [(g.sep, list(g.first)) for g in shared if 2 * g.files > top]
         profile, groups = _profiled(lines, tops, dialect, expected)

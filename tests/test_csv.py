@@ -262,6 +262,18 @@ def test_header_at_any_depth(spark, tmp_path, notes, block):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+@pytest.mark.parametrize("notes", [60, 400])
+def test_files_of_notes_and_a_header_alone(spark, tmp_path, notes):
+    """Parts without rows, more of them than parts with rows, whose notes look like rows of other widths."""
+    head = "\n".join([*(f"note {i}" + ", and more" * (i * 7 % 5) for i in range(notes)), "gauge,town,level"])
+    put(tmp_path, "part-0.csv", "\n".join([head, *(f"{i},town {i},{i / 4}" for i in range(900))]) + "\n")
+    for part in (1, 2):
+        put(tmp_path, f"part-{part}.csv", head + "\n")
+    df = C.read_csv(spark, str(tmp_path))
+    assert df.dtypes == [("gauge", "bigint"), ("town", "string"), ("level", "double")]
+    assert {r["gauge"]: r["level"] for r in df.collect()} == {i: i / 4 for i in range(900)}
+
+
 def test_runs_do_not_depend_on_the_cuts():
     from millrace.sources.even_runs import Run, joined
 
