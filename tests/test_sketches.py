@@ -48,3 +48,14 @@ def test_nulls_and_nothing(spark):
     again = {r["a key"]: tuple(r)[1:] for r in estimates(merge(kept, ["a key"]), {"w": "who"}, {"m": ("v", 0.5)}).collect()}
     assert again == got
     assert merge(kept.where("false"), ["a key"]).count() == 0
+
+
+def test_approximate_count_keeps_no_sketch_per_user(spark, tmp_path):
+    from millrace.plans.sql_queries import sql_queries
+
+    rows = [("a", 1), ("a", 2), ("a", 2), (None, 3), ("b", None)]
+    spark.createDataFrame(rows, "event_type string, user_id bigint").write.parquet(str(tmp_path / "events.parquet"))
+    got = sql_queries()["q_approx"](spark, str(tmp_path))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "approx_count_distinct" in x and "user_id" in x.partition("functions=")[0]]
+    assert {r["event_type"]: r["ok"] for r in got.collect()} == {"a": True, None: True, "b": True}
