@@ -83,9 +83,9 @@ def release(spark: SparkSession) -> int:
     return removed
 
 
-def store(df: DataFrame, label: str) -> DataFrame:
+def store(df: DataFrame, label: str, options: dict[str, str] | None = None) -> DataFrame:
     """Write ``df`` to shared storage once and read it from there: for rows that are costly
     to make and used more than once. It cuts the lineage and outlives lost executors."""
     path = workspace(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.options(**options or {}).parquet(path)
     return df.sparkSession.read.parquet(path)

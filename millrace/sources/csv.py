@@ -16,7 +16,7 @@ from itertools import chain, groupby, islice
 from urllib.parse import unquote
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import charset, infer
@@ -70,12 +70,13 @@ def _file_facts(lines: DataFrame) -> DataFrame:
     valid = charset.is_utf8(raw)
     quotes = F.octet_length(raw) - F.octet_length(F.replace(raw, F.lit('"')))
     undefined = F.when(~valid, charset.latin1(raw).rlike(charset.CP1252_UNDEFINED))
-    first_line = F.struct("block", "pos")
+    mark = F.hex(F.substring(raw.cast("binary"), 1, 3)) == "EFBBBF"
     facts = lines.groupBy("path").agg(
         F.bool_and(valid).alias("__utf8"),
         F.coalesce(F.bool_or(undefined), F.lit(False)).alias("__undefined"),
         F.bool_or(quotes % 2 == 1).alias("multiline"),
-        F.min_by(F.hex(F.substring(raw.cast("binary"), 1, 3)) == "EFBBBF", first_line).alias("bom"),
+        # One number, so that the lines need not be sorted by path: place and mark of the first line.
+        F.min(F.when(F.col("block") == 0, 2 * F.col("pos") + mark.cast("bigint"))).alias("__first"),
         F.count(F.lit(1)).alias("n_lines"),
         F.sum(F.octet_length(raw) + 1).alias("n_bytes"),
         F.bool_or(F.contains(raw, F.lit("\r"))).alias("carriage"),
@@ -85,8 +86,9 @@ def _file_facts(lines: DataFrame) -> DataFrame:
         .when(~F.col("__undefined"), charset.CP1252)
         .otherwise(charset.LATIN1)
     )
-    kept = ["multiline", "bom", "n_lines", "n_bytes", "carriage"]
-    return facts.select("path", encoding.alias("encoding"), *kept)
+    bom = F.coalesce(F.col("__first") % 2 == 1, F.lit(False))
+    kept = ["n_lines", "n_bytes", "carriage"]
+    return facts.select("path", encoding.alias("encoding"), "multiline", bom.alias("bom"), *kept)
 
 
 def _heads(tops: Tops, sep: str | None, expected) -> DataFrame:
@@ -297,30 +299,26 @@ def _read_plain(spark, paths, group: _Group, header: bool) -> DataFrame:
     return _all_columns(df, charset.as_cp1252) if group.encoding == charset.CP1252 else df
 
 
-def _records(lines: DataFrame, group: _Group) -> DataFrame:
+def _records(lines: DataFrame, group: _Group, in_order: bool) -> DataFrame:
     """The group's records, put together once: they are read for the types and again for
     the rows."""
-    text = charset.decode_line(F.col("value"), F.lit(group.encoding))
-    if group.bom:
-        # A mark at the start of the file only: anywhere else it is part of a cell.
-        top = (F.col("block") == 0) & (F.row_number().over(Window.partitionBy("path", "block").orderBy("pos")) == 1)
-        text = F.when(top, F.regexp_replace(text, "^﻿", "")).otherwise(text)
     marked = lines.select(
         "path",
         "block",
         "pos",
-        text.alias("value"),
+        "value",
         F.lit(group.sep).alias("sep"),
         F.lit(group.skip_rows).alias("skip"),
     )
+    found = records(marked, in_order, group.encoding, group.bom and group.encoding == charset.UTF8)
+    text = charset.decode_line(F.col("record"), F.lit(group.encoding))
     # Empty lines are no records; a line of blanks is one, as it is to the other reader.
-    return records(marked).where(F.col("record") != "").drop("sep")
+    return found.where(F.col("record") != "").select(text.alias("record"), "top")
 
 
 def _read_records(rows: DataFrame, group: _Group, header: bool) -> DataFrame:
     if header:
-        top = rows.groupBy("path").agg(F.min(F.struct("block", "pos")).alias("__top"))
-        rows = rows.join(top, "path").where(F.struct("block", "pos") != F.col("__top"))
+        rows = rows.where("NOT top")
     options = _csv_options(group.sep) | {"multiLine": "true"}
     cells = F.from_csv(F.col("record"), F.lit(_text_schema(group.n_cols)), options)
     return rows.select(cells.alias("__cells")).select("__cells.*")
@@ -435,11 +433,12 @@ def read_csv_lines(
         mine = _with_way(mine)
         for k in _KEYS:
             mine = mine.where(F.col(k) == F.lit(getattr(g, k)))
-        own = lines.join(mine.select("path"), "path", "left_semi")
-        plainly = plain_path and not (g.skip_rows or g.by_lines)
-        # Paths only, as many as Spark lists on the driver for any read.
-        files = [unquote(r["path"]) for r in mine.select("path").collect()] if plainly else None
-        located.append((g, files, own))
+        if plain_path:
+            # Paths only, as many as Spark lists on the driver for any read.
+            files = [unquote(r["path"]) for r in mine.select("path").collect()]
+            located.append((g, files, text_lines(spark, files)))
+        else:
+            located.append((g, None, lines.join(mine.select("path"), "path", "left_semi")))
 
     kept: dict[_Group, DataFrame] = {}
 
@@ -448,7 +447,7 @@ def read_csv_lines(
         for g, files, own_lines in located:
             if g.skip_rows or g.by_lines or not files or (g.bom and not header):
                 if g not in kept:
-                    kept[g] = _records(own_lines, g)
+                    kept[g] = _records(own_lines, g, plain_path is not None)
                 frames.append(_read_records(kept[g], g, header))
             else:
                 frames.append(_read_plain(spark, files, g, header))

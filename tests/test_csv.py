@@ -297,3 +297,42 @@ def test_dates_by_the_whole_column(spark, tmp_path):
     assert [t for _, t in df.dtypes] == ["date", "date", "date", "date", "string"]
     first = df.where("a = DATE '2024-04-03'").first()
     assert tuple(first)[:4] == (dt.date(2024, 4, 3), dt.date(2024, 3, 4), dt.date(2024, 2, 1), dt.date(2023, 12, 31))
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_records_are_cut_chunk_by_chunk(spark, tmp_path, monkeypatch):
+    """Lines of a file are neither shuffled nor sorted to find the records, wherever the chunks end."""
+    from millrace.sources import lines as L
+
+    rows = [f'{i},"a ""{i}"", b\r\n\r\nc",x{i}' if i % 3 else f'{i},say "hi,""' for i in range(400)]
+    lines = text_lines(spark, put(tmp_path, "m.csv", "\n\nid,note,n\n" + "\r\n".join(rows) + "\r\n"))
+    marked = lines.withColumns({"sep": F.lit(","), "skip": F.lit(1)})
+    for size in (1, 50, 1 << 18):
+        monkeypatch.setattr(L, "CHUNK_BYTES", size)
+        found = records(marked, True)
+        assert "value" not in plan_of(found)
+        got = found.where("record != ''").orderBy("block", "pos").collect()
+        assert [r["record"] for r in got] == ["id,note,n", *rows]
+        assert [r["record"] for r in got if r["top"]] == ["id,note,n"]
+
+
+def test_facts_of_files_need_no_sort(spark, tmp_path):
+    rows = [("a", 0, 0, "﻿id,n"), ("a", 0, 1, "1,2"), ("a", 1, 2, "﻿3,4"), ("b", 0, 0, "id,n"), ("b", 0, 1, "﻿1,2")]
+    facts = C._file_facts(spark.createDataFrame(rows, "path string, block bigint, pos bigint, value string"))
+    assert "Sort" not in plan_of(facts)
+    assert {r["path"]: (r["bom"], r["n_lines"]) for r in facts.collect()} == {"a": (True, 3), "b": (False, 2)}
+
+
+def test_days_of_the_calendar(spark):
+    from millrace.functions import infer
+
+    def text(v):
+        kinds = {infer.type_of(r["m"]) for r in spark.createDataFrame([(v,)], "v string").select(infer.value_class(F.col("v")).alias("m")).collect()}
+        return kinds.pop()
+
+    assert text("29/02/2024") == text("31.1.2023").replace(".", "/") == "date day first"
+    assert text("2-29-2000") == text("12/31/0000") == "date month first"
+    assert {text(v) for v in ("29/02/2023", "2-29-1900", "31/04/2024", "0/1/2024", "1/0/2024", "13/13/2024")} == {"string"}
